@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import RULES, SENTENCES, rule_text
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3 = f"""
@@ -12,5 +14,34 @@ FROM t JOIN g USING (norm)
 """
 
 
+def _op1() -> str:
+    known = ", ".join(f"('{text}', '{name}')" for text, name in SENTENCES.items())
+    won = []
+    for k, (name, sequence) in enumerate(RULES):
+        own = rule_text(sequence)
+        wider = [rule_text(other) for _, other in RULES if other != sequence and own in rule_text(other)]
+        won.append(f"({k}, '{name}', '{own}', {[*wider, 'none']!r})")
+    return rf"""
+WITH known(norm, sid) AS (VALUES {known}),
+rules(k, name, own, wider) AS (VALUES {", ".join(won)}),
+marked AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\n\f\r]+', '\1' || chr(1), 'g'), '\n[ \t]*([^a-z \t\n])', chr(1) || '\1', 'g') AS t
+  FROM documents),
+parts AS (SELECT rid, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS pos FROM marked),
+hits AS (
+  SELECT p.rid, p.pos, k.sid
+  FROM parts p JOIN known k ON k.norm = trim(regexp_replace(translate(p.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))),
+seqs AS (SELECT rid, '|' || string_agg(sid, '|' ORDER BY pos) || '|' AS ids, count(*) AS n FROM hits GROUP BY rid),
+named AS (
+  SELECT s.rid, r.name, min(r.k) AS k
+  FROM seqs s JOIN rules r ON contains(s.ids, r.own) AND NOT list_bool_or(list_transform(r.wider, lambda w: contains(s.ids, w)))
+  GROUP BY ALL),
+got AS (SELECT rid, string_agg(name, ',' ORDER BY k) AS licenses, count(*) AS n FROM named GROUP BY rid)
+SELECT m.doc_id, coalesce(s.n, 0) AS n_known, coalesce(s.ids, '') AS sentence_ids, coalesce(g.licenses, '') AS licenses, coalesce(g.n, 0) AS n_licenses
+FROM marked m LEFT JOIN seqs s USING (rid) LEFT JOIN got g USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op1_scan_licenses": _op1(), "op3_exact_dedup": OP3}
