@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,17 @@ def build_session(app: str = "pairloom", master: str | None = None, partitions:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once a Spark context; operators with Python code call it."""
+    context = spark.sparkContext
+    if getattr(context, "_pairloom_shipped", False):
+        return
+    top = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="pairloom-")) / "pairloom.zip"  # Spark itself serves it to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._pairloom_shipped = True
