@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import tokens
 from .shared import written
 
@@ -41,6 +42,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             columns = [pa.array(np.full(len(ids), part, "int32")), batch.column(0), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "local", "n", "ids"])
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return written(rows.mapInArrow(run, FIRST), "ids", compression="zstd")
 

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import tokens
 
 
@@ -31,5 +32,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str = tokens.BYT
             n_bytes = pc.cast(pc.binary_length(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, found], ["doc_id", "n_bytes", "n_tokens"])
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
