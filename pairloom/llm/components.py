@@ -1,0 +1,42 @@
+"""Connected components of a graph of links, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import written
+
+#: Rounds after which something must be wrong: their number grows as the logarithm of a component's size.
+ROUNDS = 40
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Of links (a, b): a row for each node that has one: id, component, the smallest id of its component.
+
+    Each step links neighbours to their smallest; edges stay about as many as they were. A node of many links is dealt
+    out by Spark's skew join, and minima are combined before they are shuffled.
+    """
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = written(edges, "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    for k in range(ROUNDS):
+        # large star: every neighbour above a node goes to the smallest of the node and its neighbours
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: the neighbours below a node, and itself, go to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        done = written(small, f"links-{k}")
+        # a forest of stars: no node both has a smaller neighbour and is one
+        settled = done.select("u").join(done.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+        edges = done
+        if settled:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
