@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, written
+from .shared import ascii_lower, small, written
 
 #: A group with a larger share of all rows than one in so many is broadcast: there can't be more such groups than this.
 HOT_GROUPS = 256
@@ -55,5 +55,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns; ids as in exact_dedup, none null."""
-    groups = exact_dedup(docs, salts=salts).where("not kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(groups, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    dropped = written(exact_dedup(docs, salts=salts).where("not kept").select(F.col("doc_id").alias("dropped_id")), "dropped")
+    return docs.join(small(dropped), F.col("doc_id") == F.col("dropped_id"), "left_anti")

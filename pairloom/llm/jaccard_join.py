@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import components as graph
-from .shared import written
+from .shared import small, written
 from .shingles import shingle_sets
 
 #: Links need a similarity of NUMERATOR / DENOMINATOR.
@@ -41,8 +41,6 @@ FREQUENT, MOST_FREQUENT = 24, 200_000
 LONG = 32
 #: Sets of a tile and of a leaf of its tree, and bits of a set's bitmap.
 TILE, LEAF, BITS = 256, 8, 512
-#: Ids that a Python pass may be given as an array; beyond, a join does the same.
-LISTED = 4_000_000
 BASE = "id long, n long, k1 long, k2 long, bits binary, head array<long>"
 
 
@@ -85,11 +83,6 @@ def base_table(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, BASE), "sets")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` for a join: broadcast if it has at most LISTED rows, which is counted, and otherwise left to a shuffle."""
-    return F.broadcast(df) if df.count() <= LISTED else df
-
-
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of ``h`` are in the sorted array ``known``."""
     if not len(known):
@@ -346,5 +339,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns; ids are not null."""
-    dropped = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    dropped = written(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")), "dropped")
+    return docs.join(small(dropped), F.col("doc_id") == F.col("dropped_id"), "left_anti")

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, small, written
 
 #: Most copies of a document.
 MOST = 2
@@ -132,3 +132,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     rows = sizes.drop("source").withColumn("rank", F.row_number().over(own)).join(plan, ["source_key", "size", "salt"])
     rows = rows.withColumn("own", (F.floor(F.col("copies") / F.col("n")) + odd).cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source and any others) as often as the mix takes them; ids name rows."""
+    copies = written(mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies"), "taken")
+    rows = docs.join(small(copies), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return rows.select(*docs.columns, times.alias("pairloom_copy")).drop("pairloom_copy")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, imatch, jaccard_join, licenses, mixing, packing, pii, token_counts, toxicity
+from . import exact_dedup, imatch, importance, jaccard_join, licenses, mixing, packing, pii, token_counts, toxicity
 from .shared import table
 
 
@@ -36,6 +36,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return importance.resample(docs, importance.good_texts(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Most rows of a table of ids that is broadcast: some 64 MB.
+BROADCAST = 2_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -36,6 +39,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, for a join: broadcast if it has at most BROADCAST rows, which is
+    counted, and otherwise left to Spark, which shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, in lower case; pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

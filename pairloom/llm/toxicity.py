@@ -205,6 +205,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all their columns; one pass, rows scored where they are."""
-    ids = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) that aren't predicted toxic, with all their columns.
+
+    The rows go through the model as they are, other columns untouched, so nothing is joined or shuffled.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = train(texts, labels)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(model.lexicon)
+        for batch in batches:
+            scores = model.score(features(batch.column(place).fill_null(""), words))
+            yield batch.filter(pa.array(scores < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
