@@ -1,8 +1,8 @@
-"""The engine's queries by name, each with the DuckDB SQL that gives the same rows where SQL can express it."""
+"""All queries of the engine by name, and their oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import retrieval  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
