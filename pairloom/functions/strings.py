@@ -5,9 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that titles are compared without.
 STOP_WORDS = ("a", "an", "and", "by", "de", "der", "des", "die", "du", "el", "in", "la", "le", "les", "of", "on", "the", "und", "von", "with")
@@ -44,10 +44,13 @@ def hex_shard(key: Column, n: int) -> Column:
     return (F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % n).cast("long")
 
 
-@F.pandas_udf("string")
-def fold_marks(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; Spark has no Unicode normaliser."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def fold_marks(text: Column) -> Column:
+    """Compatibility decomposition without combining marks; Spark has no Unicode normaliser, so Arrow batches go to Python."""
+
+    def fold(batch):
+        return batch.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return F.pandas_udf(fold, StringType(), functionType=F.PandasUDFType.SCALAR)(text)
 
 
 def normalised_text(text: Column, stop: Iterable[str] = STOP_WORDS, ascii_only: bool = False) -> Column:

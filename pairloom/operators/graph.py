@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..sources.storage import written
 
 ROUNDS = 40
@@ -110,6 +111,7 @@ def vertex_cover(links: DataFrame) -> DataFrame:
     it have no link among them. Components are solved one by one; a component's links must fit a task."""
     import pandas as pd
 
+    ship_package(links.sparkSession)
     comps = components(links)
     rows = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(comps.withColumnRenamed("id", "a"), "a")
 
