@@ -67,4 +67,4 @@ def interpolated(curve: DataFrame, group: list[str], x: str, y: str, grid: list[
     rows = rows.withColumn("p", F.last(point, ignorenulls=True).over(upto)).withColumn("n", F.first(point, ignorenulls=True).over(down)).where("asked")
     inner = F.col("p.y") + (F.col("n.y") - F.col("p.y")) * (F.col("x") - F.col("p.x")) / (F.col("n.x") - F.col("p.x"))
     value = F.when(F.col("p").isNull(), F.col("n.y")).when(F.col("n").isNull() | (F.col("n.x") == F.col("p.x")), F.col("p.y")).otherwise(inner)
-    return rows.select(*group, F.col("x").alias("at"), F.round(value, 6).alias("value"))
+    return rows.select(*group, F.col("x").alias("point"), F.round(value, 6).alias("value"))
