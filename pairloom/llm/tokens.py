@@ -8,18 +8,22 @@ other character, or with the string of a special token, goes through the library
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import lru_cache
 
-import regex
-
-#: The patterns of the two public vocabularies' pre-tokenizers.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Characters for which the patterns above and Python's lower() are known to agree with the libraries.
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
-#: Distinct pre-tokens that a task remembers; beyond that it starts anew.
+#: Letters, digits and white space among the characters of PLAIN texts.
+LETTER, DIGIT, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t\n\r "
+#: The pre-tokenizers' patterns of the two public vocabularies, for PLAIN texts.
+BYTE_LEVEL = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORD_LEVEL = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+"
+#: Characters for which these patterns and Python's lower() are known to agree with the libraries.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+#: Distinct pre-tokens in each of the two generations that a task remembers.
 REMEMBERED = 400_000
+#: What byte-level tokenizers write for a byte: printable Latin-1 characters stand for themselves, others for 256 and on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: b for b in SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
 @lru_cache(maxsize=4)
@@ -34,55 +38,70 @@ def library(path: str):
 
 
 class Pieces(dict):
-    """What ``make`` gives for a pre-token, made once."""
+    """What ``make`` gives for a pre-token, remembered: the older half is forgotten when the younger is full."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str):
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        found = self[piece] = self.make(piece)
+        self[piece] = found
         return found
 
 
-class Counts:
-    """Numbers of tokens of texts, without their ids."""
+class Texts:
+    """A tokenizer whose model sees each pre-token by itself."""
 
-    def __init__(self, path: str, pattern: str = BYTE_LEVEL):
+    def __init__(self, path: str, pattern: str):
         self.tokenizer = library(path)
-        self.split = regex.compile(pattern).findall
+        self.model = self.tokenizer.model
+        self.split = re.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(self.whole)
+        self.pieces = Pieces(self.piece)
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def tokens(self, piece: str) -> list:
+        return self.model.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))
+
 
-    def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False))
+class Counts(Texts):
+    """Numbers of tokens of texts, without their ids."""
+
+    def __init__(self, path: str, pattern: str = BYTE_LEVEL):
+        super().__init__(path, pattern)
+
+    def piece(self, piece: str) -> int:
+        return len(self.tokens(piece))
 
     def __call__(self, text: str) -> int:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
+        if not self.plain(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False))
         pieces = self.pieces
         return sum([n * pieces[piece] for piece, n in Counter(self.split(text)).items()])
 
 
-class Ids:
+class Ids(Texts):
     """Token ids of texts, as little-endian unsigned 16-bit numbers (vocabularies of at most 65,536 ids)."""
 
     def __init__(self, path: str, pattern: str = WORD_LEVEL, lower: bool = True):
-        self.tokenizer = library(path)
+        super().__init__(path, pattern)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.split = regex.compile(pattern).findall
         self.lower = lower
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(self.whole)
 
-    def whole(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(2, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+    def piece(self, piece: str) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in self.tokens(piece)])
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
+        if not self.plain(text):
+            return b"".join([i.to_bytes(2, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         pieces = self.pieces
         return b"".join([pieces[piece] for piece in self.split(text.lower() if self.lower else text)])
