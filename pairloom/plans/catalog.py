@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records, reporting, retrieval  # noqa: F401  they register their queries
+from . import records, relational, reporting, retrieval  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
