@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of a shingle.
 WORDS = 5
 U = np.uint64
+#: Bytes of text that are worked on at a time, here and in a stretch of one text.
+AT_ONCE = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,22 +63,45 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
     at, to = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    powers, inverse = _powers(1 << max(20, (len(data) + 1).bit_length()))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(value[data] * powers[: len(data)], out=total[1:])
-        hashes = mix((total[to] - total[at]) * inverse[at] + (to - at).astype(U))
+    hashes = np.empty(len(at), U)
+    first = 0
+    while first < len(at):
+        stop = max(first + 1, int(np.searchsorted(to, at[first] + AT_ONCE, side="right")))
+        low, own = int(at[first]), data[at[first] : to[stop - 1]]
+        powers, inverse = _powers(1 << max(AT_ONCE.bit_length(), (len(own) + 1).bit_length()))
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(own) + 1, U)
+            np.cumsum(value[own] * powers[: len(own)], out=total[1:])
+            x, y = at[first:stop] - low, to[first:stop] - low
+            hashes[first:stop] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(U))
+        first = stop
     return hashes, np.searchsorted(at, offsets)
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in order, in slices of about AT_ONCE bytes, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+        yield texts.slice(first, stop - first)
+        first = stop
+
+
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> list[np.ndarray]:
     """Of each text the sorted hashes of its distinct shingles. A text of fewer words has one of all its words; one
     without words, or null, has none."""
+    return [own for part in slices(texts) for own in _sets(part, size)]
+
+
+def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     hashes, begin = words(texts)
     with np.errstate(over="ignore"):
         rolled = hashes.copy()
         for k in range(1, size):
-            rolled[: len(rolled) - k] = mix(rolled[: len(rolled) - k] + U(k)) + hashes[k:]
+            left = max(0, len(rolled) - k)
+            rolled[:left] = mix(rolled[:left] + U(k)) + hashes[len(hashes) - left :]
         rolled = mix(rolled)
         sets = []
         for low, high in zip(begin[:-1].tolist(), begin[1:].tolist()):
