@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .shared import written
-from .shingles import mix, words
+from .shingles import mix, slices, words
 
 #: Hash buckets of either model, and the count that every bucket has to begin with.
 BUCKETS, PRIOR = 1 << 14, 1.0
@@ -41,7 +41,8 @@ def gram_counts(texts: DataFrame, name: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            total += np.bincount(grams(batch.column(0))[0], minlength=BUCKETS)
+            for part in slices(batch.column(0)):
+                total += np.bincount(grams(part)[0], minlength=BUCKETS)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["bucket", "n"])
 
@@ -104,9 +105,13 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets, owner = grams(batch.column(1))
-            ratio = np.bincount(owner, weights[buckets], len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=len(batch))), pa.array(ratio)], ["doc_id", "n_grams", "log_ratio"])
+            sizes, ratios = [], []
+            for part in slices(batch.column(1)):
+                buckets, owner = grams(part)
+                sizes.append(np.bincount(owner, minlength=len(part)))
+                ratios.append(np.bincount(owner, weights[buckets], len(part)))
+            if sizes:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ratios))], ["doc_id", "n_grams", "log_ratio"])
 
     scored = docs.mapInArrow(run, "doc_id long, n_grams long, log_ratio double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
