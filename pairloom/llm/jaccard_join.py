@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..session import ship_package
-from . import components as graph
 from .shared import small, written
 from .shingles import shingle_sets
 

@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: storage for intermediate tables and word patterns."""
+"""What the operators of this subpackage share: words, case, small tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
+__all__ = ["BROADCAST", "LOWER", "UPPER", "WORD", "ascii_lower", "small", "table", "written"]
+
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,29 +17,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (as in tests) gets a temporary folder; a cluster gets an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame) -> DataFrame:
     """``df``, a written table of a few numbers a row, for a join: broadcast if it has at most BROADCAST rows, which is
     counted, and otherwise left to Spark, which shuffles."""

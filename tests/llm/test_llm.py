@@ -14,7 +14,7 @@ import pytest
 from comparing import same_rows
 from pyspark.sql import functions as F
 
-from pairloom.llm import boosting, components, exact_dedup, imatch, importance, jaccard_join, licenses, mixing, oracles, packing, pii, queries, shingles, token_counts, tokens, toxicity
+from pairloom.llm import boosting, exact_dedup, imatch, importance, jaccard_join, licenses, mixing, oracles, packing, pii, queries, shingles, token_counts, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size long, id long, n long, score double, label int, part int, range int, k long, h long"
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,12 +202,6 @@ def test_shingles_match_words():
             assert len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b])
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(k + 1, k) for k in range(30)] + [(100, 90), (95, 100), (5, 5)], "a long, b long")
-    got = {r["id"]: r["component"] for r in components.components(edges).collect()}
-    assert all(got[k] == 0 for k in range(31)) and {got[90], got[95], got[100]} == {90}
-
-
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
