@@ -103,6 +103,15 @@ def _signs(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _near(places: np.ndarray, others: np.ndarray) -> int:
+    """How many of ``places`` are at most NEAR from one of ``others``; both rise."""
+    if not len(places) or not len(others):
+        return 0
+    after = np.searchsorted(others, places)
+    gaps = np.minimum(np.abs(places - others[np.maximum(after - 1, 0)]), np.abs(others[np.minimum(after, len(others) - 1)] - places))
+    return int((gaps <= NEAR).sum())
+
+
 def features(texts: pa.Array, words: Words) -> np.ndarray:
     """The features of texts (none null), a row each, in the order of FEATURES."""
     signs = _signs(texts)
@@ -113,8 +122,8 @@ def features(texts: pa.Array, words: Words) -> np.ndarray:
         found = [(i, hit) for i, hit in enumerate(map(words.__getitem__, own)) if hit is not None]
         bad = [(i, hit[0]) for i, hit in found if hit[0] or hit[1]]
         weights = [w for _, w in bad if w]
-        second = np.array([i for i, hit in found if hit[2]])
-        near = int((np.abs(np.array([i for i, _ in bad])[:, None] - second[None, :]).min(1) <= NEAR).sum()) if bad and len(second) and len(bad) * len(second) <= 4_000_000 else 0
+        second = np.array([i for i, hit in found if hit[2]], np.int64)
+        near = _near(np.array([i for i, _ in bad], np.int64), second)
         seeds = sum(hit[1] for _, hit in found)
         capitals, letters, exclaimed, asked, other, digits, _ = signs[k].tolist()
         size = max(1, capitals + letters)
