@@ -65,9 +65,9 @@ def id_ranges(ids: DataFrame, total: int) -> tuple[Column, int]:
 
 
 def neighbours(docs: DataFrame, total: int) -> DataFrame:
-    """Rows (range, rn, ghost, doc_id, text, next_text): rn numbers a range's rows in id order, its ghost last.
+    """Rows (range, rn, ghost, k, text, next_text), k being the id: rn numbers a range's rows in id order, its ghost last.
 
-    A null id comes first; rows with the same id are in the order of their texts.
+    A null id comes first, as FIRST does, which counts as null; rows with the same id are in the order of their texts.
     """
     docs = docs.withColumn("k", F.coalesce(F.col("doc_id"), F.lit(FIRST)))
     number, _ = id_ranges(docs.select("k"), total)
@@ -79,9 +79,11 @@ def neighbours(docs: DataFrame, total: int) -> DataFrame:
     own = F.struct("range", F.lit(False).alias("ghost"))
     also = F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost"))
     places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))
-    rows = rows.select("k", "doc_id", "text", F.explode(places).alias("p")).select("p.range", "p.ghost", "k", "doc_id", "text")
+    # only columns that every use of these rows needs, and the filter that a join on the range would add for one of them,
+    # so that the texts are shuffled once for all uses
+    rows = rows.select("k", "text", F.explode(places).alias("p")).select("p.range", "p.ghost", "k", "text").where("range is not null")
     by = Window.partitionBy("range").orderBy("ghost", "k", "text")
-    return rows.select("range", F.row_number().over(by).alias("rn"), "ghost", "doc_id", "text", F.lead("text").over(by).alias("next_text"))
+    return rows.select("range", F.row_number().over(by).alias("rn"), "ghost", "k", "text", F.lead("text").over(by).alias("next_text"))
 
 
 def _edited() -> Column:
@@ -149,13 +151,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = fingerprints(rows, band)
     edited = _edited()
     whole = lambda t: F.concat(F.lit("w00"), F.lower(F.hex(F.xxhash64(F.lower(t)))))
-    about = rows.select("range", "rn", "ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.when(~F.col("ghost"), F.sha2(edited, 256)).alias("edited_sha256"), whole(F.col("text")).alias("w0"), F.when(~F.col("ghost"), whole(edited)).alias("w1"))
+    about = rows.select("range", "rn", "ghost", "k", F.char_length("text").cast("long").alias("n_chars"), F.when(~F.col("ghost"), F.sha2(edited, 256)).alias("edited_sha256"), whole(F.col("text")).alias("w0"), F.when(~F.col("ghost"), whole(edited)).alias("w1"))
     both = about.join(prints, ["range", "rn"], "left")
     filled = lambda c, w: F.when(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0, F.col(c)).otherwise(F.array(w))
-    both = both.select("range", "rn", "ghost", "doc_id", "n_chars", "edited_sha256", filled("own", "w0").alias("own"), filled("changed", "w1").alias("changed"))
+    both = both.select("range", "rn", "ghost", "k", "n_chars", "edited_sha256", filled("own", "w0").alias("own"), filled("changed", "w1").alias("changed"))
     both = both.withColumn("following", F.lead("own").over(Window.partitionBy("range").orderBy("rn"))).where("not ghost")
     return both.select(
-        "doc_id",
+        F.when(F.col("k") != FIRST, F.col("k")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         F.array_join("own", ".").alias("fingerprint"),
