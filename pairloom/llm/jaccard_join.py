@@ -39,6 +39,8 @@ HEAD = 0.3
 FREQUENT, MOST_FREQUENT = 24, 200_000
 #: Blocks of more sets than this are long.
 LONG = 32
+#: Parts into which a long block is dealt where its sets are joined to something.
+PARTS = 64
 #: Sets of a tile and of a leaf of its tree, and bits of a set's bitmap.
 TILE, LEAF, BITS = 256, 8, 512
 BASE = "id long, n long, k1 long, k2 long, bits binary, head array<long>"
@@ -182,11 +184,15 @@ def _spare(n: Column) -> Column:
 
 
 def star_pairs(blocks: DataFrame, seed: int) -> DataFrame:
-    """Of (h, id, n, comp): a pair for each set of which some block's centre is of another component: the centre met most
+    """Of (h, id, n, long, comp): a pair for each set of which some block's centre is of another component: the centre met most
     often. The centre is the smallest id of a block, or, with a seed, the smallest hash."""
     order = F.col("id") if not seed else F.xxhash64(F.lit(seed), F.col("id"))
-    centres = blocks.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "comp", "n")).alias("c")).select("h", "c.id", "c.comp", "c.n").toDF("h", "b", "comp_b", "n_b")
-    met = blocks.join(centres, "h").where("comp <> comp_b").where(F.least("n", "n_b") * DENOMINATOR >= F.greatest("n", "n_b") * NUMERATOR)
+    centres = blocks.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "comp", "n")).alias("c"), F.bool_or("long").alias("long"))
+    # a long block's sets are dealt out, and its centre goes to each part
+    parts = F.when(F.col("long"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    centres = centres.select("h", "c.id", "c.comp", "c.n", F.explode(parts)).toDF("h", "b", "comp_b", "n_b", "part")
+    part = F.when(F.col("long"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    met = blocks.withColumn("part", part).join(centres, ["h", "part"]).where("comp <> comp_b").where(F.least("n", "n_b") * DENOMINATOR >= F.greatest("n", "n_b") * NUMERATOR)
     met = met.groupBy("id", "b", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * 4 >= F.col("n") - _spare(F.col("n")))
     best = met.groupBy("id").agg(F.max(F.struct("m", "b")).alias("x"))
     return best.select(F.least("id", "x.b").alias("a"), F.greatest("id", "x.b").alias("b")).distinct()
