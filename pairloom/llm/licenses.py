@@ -1,7 +1,7 @@
 """License scans by sentence rules: sentences are mapped to identifiers, identifier sequences to licences.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences. What remains of a text is
-the sequence of the identifiers found, in order; a rule matches where its own sequence stands in that, unbroken by other
+A text is normalised, with marks where sentences can end; known licence sentences are looked up from mark to mark, so that
+wrapped and commented lines don't part them. What remains of a text is the sequence of the identifiers found, in order; a rule matches where its own sequence stands in that, unbroken by other
 known sentences. A matched rule gives way to a matched rule whose sequence contains its own. One pass, no shuffle.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower
 
-#: Known sentences, as normalise() leaves them, and their identifiers.
+#: Known sentences, in lower case and with single spaces, and their identifiers.
 SENTENCES: dict[str, str] = {
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
@@ -81,12 +81,26 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Unlicense", ("unlicense-ref",)),
     ("LicenseRef-proprietary", ("reserved",)),
 )
-#: What ends a sentence: its punctuation before white space, or a line's end unless the next line starts in lower case.
-ENDS = ((r"([.!?;:])[ \t\n\f\r]+", "$1\x01"), (r"\n[ \t]*([^a-z \t\n])", "\x01$1"))
+#: Where a sentence can end: after its punctuation, at a blank line, at a line's end unless the next line starts in lower
+#: case. A known sentence runs on over a RUNS_ON (line ends, with what comments put before a line, and semicolons) but not
+#: over a STOPS.
+STOPS, RUNS_ON = "\x01", "\x02"
+ENDS = ((r"([.!?])[ \t\n\f\r]+", f"$1{STOPS}"), (r"([;:])[ \t\n\f\r]+", f"$1{RUNS_ON}"), (r"\n[ \t]*([^a-z \t\n])", f"{RUNS_ON}$1"), (r"\n[ \t]*\n", RUNS_ON))
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """``text`` in lower case, words parted by a space or by the marks of the ends between them, a mark at both its ends."""
+    text = F.translate(text, RUNS_ON, " ")
+    for pattern, put in ENDS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(put))
+    words = F.regexp_replace(ascii_lower(text), f"[^a-z0-9{STOPS}{RUNS_ON}]+", " ")
+    return F.regexp_replace(F.concat(F.lit(STOPS), words, F.lit(STOPS)), f" ?([{STOPS}{RUNS_ON}]) ?", "$1")
+
+
+def known_pattern() -> str:
+    """Known sentences in a marked() text, from one mark to another, the longest first."""
+    longest = sorted(SENTENCES, key=lambda s: -len(s.split()))
+    return f"(?<=[{STOPS}{RUNS_ON}])(?:{'|'.join(s.replace(' ', f'(?: |{RUNS_ON}++)') for s in longest)})(?=[{STOPS}{RUNS_ON}])"
 
 
 def rule_text(sequence: tuple[str, ...]) -> str:
@@ -101,13 +115,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of any length are read whole; repeated rows and null ids stand for themselves; other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = text
-    for pattern, put in ENDS:
-        marked = F.regexp_replace(marked, F.lit(pattern), F.lit(put))
     cue = F.lit(f"(?i){CUES}")
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable(SENTENCES.items())])
-    cued = F.filter(F.split(marked, "\x01"), lambda s: F.regexp_like(s, cue))
-    found = F.filter(F.transform(cued, lambda s: F.try_element_at(known, normalise(s))), lambda i: i.isNotNull())
+    sentences = F.regexp_extract_all(marked(text), F.lit(known_pattern()), F.lit(0))
+    found = F.transform(sentences, lambda s: F.element_at(known, F.regexp_replace(s, f"{RUNS_ON}+", " ")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.regexp_like(text, cue), found).otherwise(F.array().cast("array<string>")).alias("ids"))
     joined = F.when(F.size("ids") > 0, F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))).otherwise("")
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_known"), joined.alias("sentence_ids"))

@@ -293,6 +293,19 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_standard_notices(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    as_is = "copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT\n"
+    notices = [(gpl.format(":", ",", 3), "GPL-3.0-or-later", "|gpl-free|gpl3-later|"), (gpl.format(";", ";", 2), "GPL-2.0-or-later", "|gpl-free|gpl2-later|"), (apache, "Apache-2.0", "|apache2-ref|apache2-comply|apache2-copy|"), (as_is, "", "|as-is|")]
+    leaders = [lambda t: t, *(lambda t, x=x: "\n".join(x + line for line in t.split("\n")) for x in ("# ", "// ", " * ", "    ")), lambda t: t.replace("\n", "\r\n")]
+    cases = [(put(t), *want) for t, *want in notices for put in leaders] + [("MIT License\nCopyright (c) 2020 A. Body", "MIT", "|mit-title|"), ("It is under the\nMIT License of old", "", ""), ("Licensed under the Apache License. Version 2.0", "", ""), ("a \x02 MIT License", "", "")]
+    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
+    for i, (t, name, ids) in enumerate(cases):
+        assert (got[i]["licenses"], got[i]["sentence_ids"]) == (name, ids), t
+
+
 def test_fingerprints(docs, none, rows, spark):
     got = {r["doc_id"]: r for r in imatch.fingerprint_documents(docs).collect()}
     for k, (i, t) in enumerate(rows):
