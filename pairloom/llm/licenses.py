@@ -52,8 +52,9 @@ SENTENCES: dict[str, str] = {
     "this is free and unencumbered software released into the public domain": "unlicense-ref",
     "all rights reserved": "reserved",
 }
-#: Every known sentence has one of these in it, so that other sentences need no normalising.
-CUES = "licen[sc]e|permission|copyright|rights reserved|warrant|redistribut|public domain|free software|you may"
+#: Every known sentence has one of these in it, however its words are parted, so that other texts need no
+#: normalising.
+CUES = "licen[sc]e|permission|copyright|rights[^A-Za-z0-9]+reserved|warrant|redistribut|public[^A-Za-z0-9]+domain|free[^A-Za-z0-9]+software|you[^A-Za-z0-9]+may"
 #: Licences with the sequences that stand for them, in the order in which they are reported.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is")),

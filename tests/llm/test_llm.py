@@ -306,6 +306,14 @@ def test_standard_notices(spark):
         assert (got[i]["licenses"], got[i]["sentence_ids"]) == (name, ids), t
 
 
+def test_licenses_with_words_parted(spark):
+    known = {"This program is free software": "gpl-free", "All rights reserved": "reserved", "This work is dedicated to the public domain": "public-domain", "This is free and unencumbered software released into the public domain": "unlicense-ref", "You may obtain a copy of the license at": "apache2-copy"}
+    cases = [(t.replace(" ", gap), f"|{name}|") for t, name in known.items() for gap in (" ", "\n", "  ", "-", "\n * ", "\r\n", " \u00a0", "\t")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(d).collect()}
+    assert [got[i] for i in range(len(cases))] == [ids for _, ids in cases]
+
+
 def test_fingerprints(docs, none, rows, spark):
     got = {r["doc_id"]: r for r in imatch.fingerprint_documents(docs).collect()}
     for k, (i, t) in enumerate(rows):
