@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,11 +74,62 @@ def check_calibration(calibration: list[str], test: list[str]) -> None:
 
 
 def latin_square(items: DataFrame, n: int) -> DataFrame:
-    """Of (slot) 0..n-1: a balanced schedule, each item once in each place: block, place, item."""
+    """Of (slot) 0..n-1: a cyclic schedule, each item once in each place but always before the same other: block, place, item."""
     blocks = items.select("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     return blocks.select(F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("place"), ((F.col("slot") + F.col("block")) % n).cast("long").alias("item"))
 
 
+def williams_rows(n: int) -> list[list[int]]:
+    """Rows 0, n-1, 1, n-2, ... and its shifts, with their reversals where n is odd: each item equally often in each place,
+    and each ordered pair of neighbours equally often."""
+    if n < 1:
+        raise ValueError("a schedule needs an item")
+    first = [p // 2 if p % 2 == 0 else n - 1 - p // 2 for p in range(n)]
+    rows = [[(x + shift) % n for x in first] for shift in range(n)] if n > 1 else [first]
+    return rows + [row[::-1] for row in rows] if n > 1 and n % 2 else rows
+
+
+def williams_schedule(spark: SparkSession, models: list[str], cycle_seeds: list[int], image_seed: int) -> DataFrame:
+    """All Williams rows in each cycle, models and rows shuffled by its seed, every block with its own seed for the images:
+    block, cycle, block_within_cycle, canonical_row, image_order_seed, place, model. Blocks and cycles start at 1."""
+    if len(set(models)) != len(models) or len(set(cycle_seeds)) != len(cycle_seeds):
+        raise ValueError("models and seeds are distinct")
+    rows, images, out, block = williams_rows(len(models)), random.Random(image_seed), [], 0
+    for cycle, seed in enumerate(cycle_seeds, 1):
+        rng, mapped, order = random.Random(seed), list(models), list(range(len(rows)))
+        rng.shuffle(mapped)
+        rng.shuffle(order)
+        for within, row in enumerate(order, 1):
+            block, image = block + 1, images.randrange(0, 2**63)
+            out += [(block, cycle, within, row, image, place, mapped[x]) for place, x in enumerate(rows[row])]
+    return spark.createDataFrame(out, "block long, cycle long, block_within_cycle long, canonical_row long, image_order_seed long, place long, model string")
+
+
+def neighbours(schedule: DataFrame) -> DataFrame:
+    """How often a model comes right before another: cycle, before, model, n."""
+    before = F.lag("model").over(Window.partitionBy("cycle", "block").orderBy("place"))
+    return schedule.select("cycle", before.alias("before"), "model").where("before is not null").groupBy("cycle", "before", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unbalanced(schedule: DataFrame) -> DataFrame:
+    """Where a schedule isn't balanced, a row each: cycle, rule, what, n, expected. Blocks have every model once; a cycle has
+    all its blocks, each model in each place and each ordered pair of neighbours equally often."""
+    models = schedule.select("cycle", "model").distinct()
+    size = models.groupBy("cycle").agg(F.count(F.lit(1)).alias("m"))
+    size = size.withColumn("each", F.when((F.col("m") == 1) | (F.col("m") % 2 == 0), F.lit(1)).otherwise(2).cast("long"))
+    row = lambda df, rule, what, n, expected: df.select("cycle", F.lit(rule).alias("rule"), what.alias("what"), n.alias("n"), expected.alias("expected")).where("n <> expected")
+    blocks = schedule.groupBy("cycle", "block").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("model").alias("d")).join(size, "cycle")
+    # A row too many counts against its block even where all models are there.
+    whole = row(blocks, "block", F.col("block").cast("string"), F.when(F.col("k") == F.col("m"), F.col("d")).otherwise(F.col("k")), F.col("m"))
+    number = row(schedule.groupBy("cycle").agg(F.countDistinct("block").alias("k")).join(size, "cycle"), "blocks", F.lit(""), F.col("k"), F.col("m") * F.col("each"))
+    grid = models.join(size, "cycle").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    placed = grid.join(schedule.groupBy("cycle", "model", "place").agg(F.count(F.lit(1)).alias("k")), ["cycle", "model", "place"], "left")
+    places = row(placed, "place", F.concat_ws(" ", "model", "place"), F.coalesce("k", F.lit(0)), F.col("each"))
+    ordered = models.join(size, "cycle").join(models.withColumnRenamed("model", "before"), "cycle").where("before <> model")
+    met = ordered.join(neighbours(schedule).withColumnRenamed("n", "k"), ["cycle", "before", "model"], "left")
+    return whole.unionByName(number).unionByName(places).unionByName(row(met, "neighbours", F.concat_ws(" ", "before", "model"), F.coalesce("k", F.lit(0)), F.col("each")))
+
+
 def queue_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows that only one of two queues has; once decisions exist a queue must stay as it is."""
     gone, added = old.exceptAll(new), new.exceptAll(old)

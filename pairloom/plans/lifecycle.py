@@ -36,10 +36,26 @@ def derived_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.range AS block, s.range AS place, (s.range + b.range) % 7 AS item FROM range(7) b CROSS JOIN range(7) s")
 def latin_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A balanced order of seven models."""
+    """A cyclic order of seven models: balanced by place, not by neighbours (for those, williams_rows)."""
     return protocol.latin_square(spark.range(7).select(F.col("id").alias("slot")), 7)
 
 
+@query("""WITH f AS (SELECT range AS p, CASE WHEN range % 2 = 0 THEN range // 2 ELSE 6 - range // 2 END AS x FROM range(7)) SELECT b.range AS block, p AS place, (x + b.range) % 7 AS item FROM f CROSS JOIN range(7) b UNION ALL SELECT 7 + b.range, 6 - p, (x + b.range) % 7 FROM f CROSS JOIN range(7) b""")
+def williams_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Williams square of seven models, with its reversals."""
+    rows = [(block, place, item) for block, row in enumerate(protocol.williams_rows(7)) for place, item in enumerate(row)]
+    return spark.createDataFrame(rows, "block long, place long, item long")
+
+
+@query("""SELECT c.range AS cycle, 'model' || a.range AS before, 'model' || b.range AS model, 2 AS n FROM range(1, 4) c CROSS JOIN range(7) a CROSS JOIN range(7) b WHERE a.range <> b.range""")
+def williams_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three seeded cycles of seven models, checked for balance: how often each model comes right before another."""
+    schedule = protocol.williams_schedule(spark, [f"model{k}" for k in range(7)], [11, 12, 13], 5)
+    if broken := protocol.unbalanced(schedule).take(1):
+        raise ValueError(f"not balanced: {broken[0]}")
+    return protocol.neighbours(schedule)
+
+
 @query("""SELECT model, count(*) AS rows FROM (SELECT l_returnflag || l_linestatus AS model, l_linenumber FROM lineitem) t GROUP BY model HAVING list_sort(list_distinct(list(l_linenumber))) = [1, 2, 3, 4, 5, 6, 7]""")
 def complete_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models that have every expected key."""
