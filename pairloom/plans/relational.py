@@ -29,7 +29,7 @@ SQL = {
     "shipping_priority": """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
       WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate""",
     "forecast_revenue": """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
-    # Left join on an aggregate of sorted tags, and existence
+    # left join on an aggregate (its largest status; for all of them, customer_tags), and existence
     "tagged_customers": """SELECT c_custkey, c_name, coalesce(n, 0) AS orders_, coalesce(statuses, '') AS statuses FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderstatus) AS statuses FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey
       WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)""",
     # Correlated existence, joined by or and by not
@@ -89,6 +89,16 @@ for _name, _sql in SQL.items():
     ORACLES[_name] = _sql
 
 
+@query("""SELECT c_custkey, c_name, n_name, coalesce(n, 0) AS orders_, coalesce(tags, '') AS statuses FROM customer JOIN nation ON n_nationkey = c_nationkey
+LEFT JOIN (SELECT o_custkey, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS tags FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)""")
+def customer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inner join, a left join on sorted tags (all statuses of a customer's orders), and existence."""
+    tags = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("tags"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    c = c.join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("c_nationkey"), "left_semi").join(tags, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return c.select("c_custkey", "c_name", "n_name", F.coalesce("n", F.lit(0)).alias("orders_"), F.coalesce("tags", F.lit("")).alias("statuses"))
+
+
 @query("SELECT p_partkey AS id, p_name AS name, coalesce(p_size, 0)::INT AS size, p_retailprice AS price FROM part")
 def csv_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest written as CSV strings and scanned typed, the last of repeated keys staying."""

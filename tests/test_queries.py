@@ -14,6 +14,14 @@ def test_runs(spark, small, name):
     assert catalog.QUERIES[name](spark, small).count() > 0
 
 
+def test_customers_keep_all_tags(spark, tmp_path):
+    sizes = {"customer": [(1, "x", 0), (2, "y", 0), (3, "z", 9)], "orders": [(1, "P"), (1, "F"), (1, "P"), (1, "O"), (3, "F")], "nation": [(0, "N"), (9, "M")], "supplier": [(0,)]}
+    for (name, rows), fields in zip(sizes.items(), ("c_custkey long, c_name string, c_nationkey long", "o_custkey long, o_orderstatus string", "n_nationkey long, n_name string", "s_nationkey long")):
+        spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["customer_tags"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "x", "N", 4, "F,O,P"), (2, "y", "N", 0, "")}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
