@@ -123,6 +123,45 @@ def vertex_cover(links: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInPandas(solve, "component long, id long, component_nodes long, cover_size long")
 
 
+def _matching(edges: list[tuple]) -> int:
+    """The size of a largest matching of a bipartite graph, first ends on one side: each first end in turn gets a partner by
+    an alternating path, searched breadth first."""
+    graph: dict = {}
+    for a, b in edges:
+        graph.setdefault(a, set()).add(b)
+    partner: dict = {}
+    for start in sorted(graph):
+        came, queue, end = {}, [start], None
+        for u in queue:
+            for v in sorted(graph[u] - came.keys()):
+                came[v] = u
+                if v not in partner:
+                    end = v
+                    break
+                queue.append(partner[v])
+            if end is not None:
+                break
+        held = {u: v for v, u in partner.items()} if end is not None else {}
+        while end is not None:
+            u = came[end]
+            partner[end], end = u, held.get(u)
+    return len(partner)
+
+
+def matching_sizes(links: DataFrame) -> DataFrame:
+    """For each component of a bipartite graph, all ``a`` on one side and all ``b`` on the other, the size of a largest
+    matching, which is that of a minimum vertex cover: component, matching_size. A component's links must fit a task."""
+    import pandas as pd
+
+    ship_package(links.sparkSession)
+    rows = links.select("a", "b").distinct().join(components(links).withColumnRenamed("id", "a"), "a")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "matching_size": [_matching(list(zip(pdf["a"].tolist(), pdf["b"].tolist())))]})
+
+    return rows.groupBy("component").applyInPandas(solve, "component long, matching_size long")
+
+
 def witnesses(cover: DataFrame, links: DataFrame) -> DataFrame:
     """For each node of a cover its smallest neighbour outside it: id, witness (null where all neighbours are inside)."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("id", "other").distinct()

@@ -56,12 +56,20 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT x, x AS m FROM u UNION SELECT u.x, r.m FROM r JOIN u ON u.y = r.x), f AS (SELECT x, min(m) AS m FROM r GROUP BY x)
 SELECT m AS component, count(*) AS nodes FROM f GROUP BY m""")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a graph whose paths are long: customers and groups of large urgent orders."""
+    """Components of a small graph whose paths are long: customers and groups of large urgent orders alone."""
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000")
     links = o.select(F.col("o_custkey").alias("a"), (F.lit(10000000) + F.col("o_orderkey") % 97).alias("b")).distinct()
     return graph.components(links).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 97 AS b FROM orders), u AS (SELECT DISTINCT x.b AS x, y.b AS y FROM l x JOIN l y USING (a)), r AS (SELECT x, x AS m FROM u UNION SELECT u.x, r.m FROM r JOIN u ON u.y = r.x),
+f AS (SELECT x, min(m) AS m FROM r GROUP BY x) SELECT min(a) AS component, count(DISTINCT a) + count(DISTINCT b) AS nodes FROM l JOIN f ON f.x = l.b GROUP BY m""")
+def order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the graph of customers and groups of all orders."""
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.lit(10000000) + F.col("o_orderkey") % 97).alias("b")).distinct()
+    return graph.components(links).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query(f"""WITH {SHA}, m AS (SELECT d.id, min(d.id) OVER (PARTITION BY sha) AS component, count(*) OVER (PARTITION BY sha) AS n, t.n_chars, d.source FROM d JOIN documents t ON t.doc_id = d.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, n_chars DESC, id) = 1 AS is_keeper FROM m)
 SELECT id, component, source, is_keeper FROM k WHERE n > 1""")
@@ -90,8 +98,20 @@ def cluster_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part WHERE p_size = 1), n AS (SELECT a AS x FROM l UNION SELECT b FROM l) SELECT (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM n) AS nodes, 0::BIGINT AS uncovered, 0::BIGINT AS unwitnessed""")
 def vertex_cover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact minimum cover of a bipartite graph of brands and types; no link is left uncovered."""
-    p = table(spark, sf_dir, "part").where("p_size = 1").select("p_brand", "p_type").distinct()
+    """An exact minimum cover of a small bipartite graph, brands and types of the smallest parts alone; no link is left
+    uncovered. The whole table and the cover's size are in part_cover."""
+    return cover_counts(table(spark, sf_dir, "part").where("p_size = 1")).drop("cover_size", "matching_size")
+
+
+# No cover needs more than the smaller side; here the matching reaches that, so that it is the size of the minimum.
+@query("""WITH l AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part), n AS (SELECT a AS x FROM l UNION SELECT b FROM l), s AS (SELECT least(count(DISTINCT a), count(DISTINCT b)) AS k FROM l) SELECT (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM n) AS nodes, 0::BIGINT AS uncovered, 0::BIGINT AS unwitnessed, k AS cover_size, k AS matching_size FROM s""")
+def part_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact minimum cover of the graph of brands and types of all parts, its size beside that of a matching."""
+    return cover_counts(table(spark, sf_dir, "part"))
+
+
+def cover_counts(parts: DataFrame) -> DataFrame:
+    p = parts.select("p_brand", "p_type").distinct()
     nodes = p.select(F.col("p_brand").alias("name")).union(p.select("p_type")).distinct()
     from pyspark.sql import Window
 
@@ -102,6 +122,7 @@ def vertex_cover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = links.join(covered.toDF("a"), "a", "left_anti").join(covered.toDF("b"), "b", "left_anti")
     seen = graph.witnesses(cover, links)
     counts = [links.agg(F.count(F.lit(1)).alias("links")), nodes.agg(F.count(F.lit(1)).alias("nodes")), open_.agg(F.count(F.lit(1)).alias("uncovered")), seen.agg(F.count_if(F.col("witness").isNull()).alias("unwitnessed"))]
+    counts += [cover.agg(F.count(F.lit(1)).alias("cover_size")), graph.matching_sizes(links).agg(F.sum("matching_size").alias("matching_size"))]
     out = counts[0]
     for c in counts[1:]:
         out = out.crossJoin(c)  # one row each

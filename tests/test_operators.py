@@ -1,5 +1,7 @@
 """Small inputs with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,18 @@ def test_clusters_conflicts_and_cover(spark):
     assert graph.unknown_ends(nodes, spark.createDataFrame([(1, 9)], "a long, b long")).first()["id"] == 9
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_matching_is_as_large_as_the_cover(seed):
+    rng = random.Random(seed)
+    edges = [(a, 100 + b) for a in range(9) for b in range(12) if rng.random() < 0.1 + 0.06 * seed]
+    assert graph._matching(edges) == len(graph._cover(edges))
+
+
+def test_matching_by_component(spark):
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (5, 20), (6, 20), (7, 20)], "a long, b long")
+    assert {(r["component"], r["matching_size"]) for r in graph.matching_sizes(links).collect()} == {(1, 2), (5, 1)}
+
+
 def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(200, 100), (100, 150), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in graph.components(links).collect()}
