@@ -80,7 +80,7 @@ def box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS classes, 0::BIGINT AS shared FROM (SELECT DISTINCT c_nationkey FROM customer) t")
 def class_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes in two halves with a seeded shuffle; none is in both."""
+    """Classes in two halves with a seeded shuffle; none is in both."""
     classes = sorted(r[0] for r in table(spark, sf_dir, "customer").select("c_nationkey").distinct().collect())
     rows = splits.membership(table(spark, sf_dir, "customer"), splits.halves(classes, 3), "c_nationkey")
     per = rows.groupBy("c_nationkey").agg(F.countDistinct("subset").alias("n"))
@@ -99,7 +99,7 @@ def queue_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{PAIRS}, k AS (SELECT x AS split, qid, cid, hit, row_number() OVER (PARTITION BY x, qid ORDER BY s DESC, cid) AS rk FROM p0 JOIN (SELECT unnest([0, 1, 2]) AS x) y ON qid % 3 = x AND cid % 3 = x)
 SELECT split, count(*) AS candidate_pairs, count(*) FILTER (hit) AS true_positives FROM k WHERE rk <= 5 GROUP BY split""".replace("WITH p AS", "WITH p AS").replace("r AS (SELECT *,", "p0 AS (SELECT *, ql = cl AS hit FROM p), r AS (SELECT *,"))
 def split_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q08 Q02: all splits in one job, the split being a key: every vector in one of three."""
+    """Q08: all splits in one job, the split being a key: every vector in one of three."""
     pairs_ = all_pairs(spark, sf_dir).withColumn("split", (F.col("query_id") % 3).cast("int")).where("candidate_id % 3 = split")
     rows = similarity.ranked(pairs_, 5)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(metrics.is_match()).alias("true_positives"))
@@ -146,5 +146,5 @@ def reusable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def orphaned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with rows that nothing refers to."""
+    """Sources with rows that nothing refers to."""
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("source").distinct()

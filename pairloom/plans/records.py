@@ -261,7 +261,7 @@ def class_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderpriority AS kind, slot, count(*) AS rows FROM (SELECT o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 3 AS slot FROM orders) s GROUP BY ALL""")
 def round_robin_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows dealt out in turn inside each kind."""
+    """Rows dealt out in turn inside each kind."""
     rows = splits.round_robin(table(spark, sf_dir, "orders"), ["o_orderpriority"], [F.col("o_orderkey")], 3)
     return rows.groupBy(F.col("o_orderpriority").alias("kind"), "slot").agg(F.count(F.lit(1)).alias("rows"))
 

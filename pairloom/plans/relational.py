@@ -132,7 +132,7 @@ def copy_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS objectid, c_name AS title FROM customer")
 def paged_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogue by pages planned from id ranges, each page repeating its first row."""
+    """A catalogue by pages planned from id ranges, each page repeating its first row."""
     c = table(spark, sf_dir, "customer")
     plan = manifests.range_plan(c, "c_custkey", 400)
     ranges = spark.createDataFrame(plan, "low long, high long, n long")
@@ -150,7 +150,7 @@ def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, (event_type = 'purchase', value, event_id)) AS kind, count(*) AS n FROM events GROUP BY user_id")
 def retry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best response for each key, good ones first."""
+    """The best response for each key, good ones first."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct(F.col("event_type") == "purchase", "value", "event_id")).alias("kind"), F.count(F.lit(1)).alias("n"))
 
 
@@ -181,7 +181,7 @@ def split_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT DISTINCT least(l_partkey, l_suppkey + 1000000)::VARCHAR AS a, greatest(l_partkey, l_suppkey + 1000000)::VARCHAR AS b FROM lineitem)
 SELECT a, b, CASE WHEN a < b THEN sha256(a || chr(0) || sha256(a) || chr(0) || b || chr(0) || sha256(b)) ELSE sha256(b || chr(0) || sha256(b) || chr(0) || a || chr(0) || sha256(a)) END AS pair_id FROM p""")
 def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of pairs from both ends and their contents."""
+    """ids of pairs from both ends and their contents."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("a"), (F.col("l_suppkey") + 1000000).cast("string").alias("b")).distinct()
     return li.withColumn("pair_id", pair_id(F.col("a"), F.sha2("a", 256), F.col("b"), F.sha2("b", 256)))
 
