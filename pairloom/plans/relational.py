@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import pair_id
 from ..operators import pairs
 from ..sources import manifests
-from ..sources.storage import shared_dir
+from ..sources.storage import shared_dir, write_texts
 from ..streaming import events as streams
 from .registry import ORACLES, QUERIES, query, table
 
@@ -204,16 +204,24 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_end(streams.running_decisions(streams.stream_of(spark, sf_dir, "events.parquet"), "user_id"), "complete")
 
 
-@query()
+@query("""SELECT l_linenumber::VARCHAR AS run, l_returnflag || l_linestatus AS model, 'lines' AS task, mode, key, round(avg(CASE WHEN CASE mode WHEN 'top_k' THEN l_quantity <= key WHEN 'thresholds' THEN l_discount >= key WHEN 'targets' THEN l_tax <= key WHEN 'threshold_floors' THEN l_discount <= key ELSE l_quantity > key END THEN 1::DOUBLE ELSE 0 END), 6) AS value
+FROM lineitem CROSS JOIN (VALUES ('top_k', 5::DOUBLE), ('top_k', 20), ('thresholds', 0.02), ('thresholds', 0.05), ('targets', 0.04), ('threshold_floors', 0.05), ('calibrated_top_k', 10)) m(mode, key) WHERE l_linenumber % 3 <> 0 GROUP BY ALL""")
 def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run documents found below a folder, flattened to a row a metric."""
+    """Run documents of all lines, a run for each line number and a model for each flag, found below a folder and
+    flattened to a row a metric; every third run isn't completed and is left out."""
+    share = lambda key, k, ok: F.struct(F.lit(k).alias(key), F.round(F.avg(ok.cast("double")), 6).alias("pair_completeness"))
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    modes = {
+        "top_k": [share("k", k, q <= k) for k in (5, 20)],
+        "thresholds": [share("threshold", t, d >= t) for t in (0.02, 0.05)],
+        "targets": [share("target", 0.04, F.col("l_tax") <= 0.04)],
+        "threshold_floors": [share("threshold", 0.05, d <= 0.05)],
+        "calibrated_top_k": [share("k", 10, q > 10)],
+    }
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("run"), F.concat("l_returnflag", "l_linestatus").alias("model")).agg(*[F.array(*m).alias(name) for name, m in modes.items()])
+    docs = per.select("run", "model", F.to_json(F.struct("model", F.array(F.struct(F.lit("lines").alias("task"), *modes)).alias("tasks"))).alias("text")).collect()  # a document a run and model
     path = f"{shared_dir(spark)}/pairloom/runs-{uuid.uuid4().hex}"
-    docs = [(m, json.dumps({"model": m, "tasks": [{"task": "t", "top_k": [{"k": k, "pair_completeness": round(k / 10, 3)} for k in (1, 5)], "targets": [{"target": 0.95, "pair_completeness": 0.9}]}]})) for m in ("a", "b")]
-    for m, text in docs:
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{m}")
-    got = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    schema = "model string, tasks array<struct<task: string, top_k: array<struct<k: int, pair_completeness: double>>, targets: array<struct<target: double, pair_completeness: double>>>>"
-    rows = got.select(F.from_json("value", schema).alias("d")).select("d.model", F.explode("d.tasks").alias("t"))
-    one = rows.select("model", F.lit("top_k").alias("mode"), F.explode("t.top_k").alias("m")).select("model", "mode", F.col("m.k").cast("double").alias("key"), "m.pair_completeness")
-    two = rows.select("model", F.lit("target").alias("mode"), F.explode("t.targets").alias("m")).select("model", "mode", F.col("m.target").alias("key"), "m.pair_completeness")
-    return one.unionByName(two)
+    texts = {f"{path}/{r['run']}/models/{r['model']}/eval.json": r["text"] for r in docs}
+    texts |= {f"{path}/{n}/run.json": json.dumps({"status": "completed" if n % 3 else "running"}) for n in {r["run"] for r in docs}}
+    write_texts(spark, texts)
+    return manifests.completed_runs(spark, path).select("run", "model", "task", "mode", "key", "value")

@@ -162,17 +162,26 @@ def select_files(membership: DataFrame, subsets: list[str], roles: list[str]) ->
 
 def flatten_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run documents (eval.json, found at any depth) as one row a metric: path, model, task, mode, k, target, value."""
-    schema = "model string, tasks array<struct<task: string, top_k: array<struct<k: int, pair_completeness: double>>, thresholds: array<struct<threshold: double, pair_completeness: double>>, targets: array<struct<target: double, pair_completeness: double>>>>"
+    schema = "model string, tasks array<struct<task: string, top_k: array<struct<k: int, pair_completeness: double>>, thresholds: array<struct<threshold: double, pair_completeness: double>>, targets: array<struct<target: double, pair_completeness: double>>, threshold_floors: array<struct<threshold: double, pair_completeness: double>>, calibrated_top_k: array<struct<k: int, pair_completeness: double>>>>"
     docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "eval.json").json(path)
     tasks = docs.select(F.input_file_name().alias("path"), "model", F.explode_outer("tasks").alias("t"))
     out = None
-    for mode, key in (("top_k", "k"), ("thresholds", "threshold"), ("targets", "target")):
+    for mode, key in (("top_k", "k"), ("thresholds", "threshold"), ("targets", "target"), ("threshold_floors", "threshold"), ("calibrated_top_k", "k")):
         rows = tasks.select("path", "model", F.col("t.task").alias("task"), F.explode(f"t.{mode}").alias("m"))
         rows = rows.select("path", "model", "task", F.lit(mode).alias("mode"), F.col(f"m.{key}").cast("double").alias("key"), F.col("m.pair_completeness").alias("value"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def completed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """flatten_runs() of the documents RUN/models/MODEL/eval.json whose RUN/run.json says that the run is completed, with
+    the run's folder as run_dir and its name as run. Other documents, and runs without run.json, are left out."""
+    rows = flatten_runs(spark, path).withColumn("run_dir", F.regexp_extract("path", r"^(.*)/models/[^/]+/eval\.json$", 1)).where("run_dir <> ''")
+    runs = spark.read.schema("status string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "run.json").json(path)
+    done = runs.where("status = 'completed'").select(F.regexp_replace(F.input_file_name(), r"/run\.json$", "").alias("run_dir"))
+    return rows.join(done, "run_dir", "left_semi").withColumn("run", F.regexp_extract("run_dir", "[^/]+$", 0))
+
+
 def scan_files(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
     """Files below a folder by extension, whatever its case: path, size, sha256. Contents stay in their tasks."""
     wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions])

@@ -25,3 +25,15 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pairloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_texts(spark: SparkSession, texts: dict[str, str]) -> None:
+    """Small named files by path, through Hadoop's file systems, as shared folders need it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path, text in texts.items():
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        out = place.getFileSystem(conf).create(place, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import strings, vectors
 from pairloom.operators import blocking, calibrate, certify, graph, metrics, pairs, runs, similarity, splits
-from pairloom.sources import manifests
+from pairloom.sources import manifests, storage
 
 
 def frozen(spark):
@@ -240,6 +240,15 @@ def test_run_documents(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(m, mode, k, v) for m in "ab" for mode, k, v in (("targets", 0.9, 0.91), ("top_k", 1.0, 0.5))]
 
 
+def test_completed_runs(spark, tmp_path):
+    text = '{"model": "m", "tasks": [{"task": "t", %s}]}' % ", ".join('"%s": [{"%s": 1, "pair_completeness": 0.5}]' % x for x in (("top_k", "k"), ("thresholds", "threshold"), ("targets", "target"), ("threshold_floors", "threshold"), ("calibrated_top_k", "k")))
+    for run, status in (("one", "completed"), ("two", "running"), ("three", None)):
+        storage.write_texts(spark, {f"{tmp_path}/in/{run}/models/m/eval.json": text} | ({f"{tmp_path}/in/{run}/run.json": '{"status": "%s"}' % status} if status else {}))
+    storage.write_texts(spark, {f"{tmp_path}/in/one/eval.json": text})
+    got = sorted((r["run"], r["mode"], r["key"], r["value"]) for r in manifests.completed_runs(spark, f"{tmp_path}/in").collect())
+    assert got == [("one", mode, 1.0, 0.5) for mode in ("calibrated_top_k", "targets", "threshold_floors", "thresholds", "top_k")]
+
+
 def test_paged_scan_drops_repeats(spark):
     def fetch(page: int) -> list[dict]:
         return [{"objectid": page * 2 + k, "title": f"p{page}"} for k in range(3)]
