@@ -18,13 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small, written
 
 SLOTS = 64
 #: The band, as shares of all documents; a term must be in two documents at least.
 LEAST, MOST = 0.001, 0.1
-#: Most terms of the lexicon, which is broadcast: the band's lower end rises until sum(df) / df can't give more.
-LEXICON = 2_000_000
 #: Lengths in code points from which a text is of the next class; classes count from 2.
 CLASSES = (1_024, 8_192, 65_536, 524_288, 4_194_304, 33_554_432)
 #: Ids are cut at so many percentiles, and those ranges evenly into at most so many each of about ROWS documents.
@@ -39,12 +37,10 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, total: int) -> DataFrame:
-    """Of (text): the hashes of the terms in the band, as column h; at most LEXICON rows."""
+    """Of (text): the hashes of the terms in the band, as column h."""
     counts = texts.select(F.explode(term_hashes(F.col("text"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     counts = written(counts.where("df > 1"), "frequencies")
-    pairs = counts.agg(F.sum("df").alias("n")).first()["n"] or 0
-    least = max(2.0, LEAST * total, pairs / LEXICON)
-    return counts.where((F.col("df") >= least) & (F.col("df") <= max(2.0, MOST * total))).select("h")
+    return counts.where((F.col("df") >= max(2.0, LEAST * total)) & (F.col("df") <= max(2.0, MOST * total))).select("h")
 
 
 def id_ranges(ids: DataFrame, total: int) -> tuple[Column, int]:
@@ -103,14 +99,15 @@ def _entries(h: Column, family: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, band: DataFrame) -> DataFrame:
-    """Of neighbours(): range, rn and the sorted entries of the text (``own``) and of the edited text (``changed``)."""
+    """Of neighbours(): range, rn and the sorted entries of the text (``own``) and of the edited text (``changed``). The
+    lexicon ``band``, a written table, is broadcast if it is small() and otherwise joined by a shuffle."""
     texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.when(~F.col("ghost"), _edited()).alias("t")))
     each = rows.select("range", "rn", F.explode(texts).alias("e")).select("range", "rn", "e.kind", "e.t").where("t is not null")
     each = each.select("range", "rn", "kind", _class(F.col("t")).alias("c"), term_hashes(F.col("t")).alias("hs"))
     size = F.pow(F.lit(8.0), F.col("c")).cast("long")
     each = each.select("range", "rn", "kind", "c", size.alias("m"), "hs")
     used = F.filter(F.zip_with("hs", F.array_repeat(F.col("m") - 1, F.size("hs")), lambda h, m: F.when(h.bitwiseAND(m) < SLOTS, h)), lambda h: h.isNotNull())
-    terms = each.select("range", "rn", "kind", "c", "m", F.explode(used).alias("h")).join(F.broadcast(band), "h", "left_semi")
+    terms = each.select("range", "rn", "kind", "c", "m", F.explode(used).alias("h")).join(small(band), "h", "left_semi")
     finer = F.when(F.col("h").bitwiseAND(F.col("m") * 8 - 1) < SLOTS, F.xxhash64("h"))
     slots = terms.groupBy("range", "rn", "kind", "c", F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.bit_xor(F.xxhash64("h")).alias("coarse"), F.bit_xor(finer).alias("fine"))
     slots = slots.select("range", "rn", "kind", _entries(F.col("coarse"), F.col("c")).alias("a"), _entries(F.col("fine"), F.col("c") + 1).alias("b"))

@@ -14,7 +14,7 @@ import pytest
 from comparing import same_rows
 from pyspark.sql import functions as F
 
-from pairloom.llm import boosting, exact_dedup, imatch, importance, jaccard_join, licenses, mixing, oracles, packing, pii, queries, shingles, token_counts, tokens, toxicity
+from pairloom.llm import boosting, exact_dedup, imatch, importance, jaccard_join, licenses, mixing, oracles, packing, pii, queries, shared, shingles, token_counts, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size long, id long, n long, score double, label int, part int, range int, k long, h long"
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -334,6 +334,17 @@ def test_fingerprints(docs, none, rows, spark):
     assert (alone["near_next"], alone["edited_sha256"]) == (1.0, hashlib.sha256(b"abcd efab").hexdigest())
 
 
+def test_fingerprints_with_a_lexicon_above_the_broadcast_bound(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, " ".join(f"t{k % 10}x{j}" for j in range(300))) for k in range(100)], "doc_id long, text string")
+    band = {r["h"] for r in imatch.lexicon(texts, 100).collect()}
+    want = sorted(map(tuple, imatch.fingerprint_documents(texts).collect()))
+    monkeypatch.setattr(shared, "BROADCAST", 10)
+    monkeypatch.setattr(imatch, "LEXICON", 10, raising=False)
+    assert len(band) == 3000 and {r["h"] for r in imatch.lexicon(texts, 100).collect()} == band
+    assert sorted(map(tuple, imatch.fingerprint_documents(texts).collect())) == want
+    assert shared.small(spark.range(11))._jdf.queryExecution().logical().toString().count("ResolvedHint") == 0
+
+
 def test_importance(spark, docs, none, rows):
     good = spark.createDataFrame([(t,) for i, t in rows if t and i % 6 == 2], "text string")
     got = importance.resample(docs, good, share=0.5)
