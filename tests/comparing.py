@@ -1,6 +1,7 @@
 """Rows of a Spark query against those of its SQL, in any order."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,7 +15,7 @@ def same_rows(spark, folder: str, query, sql: str) -> None:
     assert sorted(got.columns) == sorted(want.columns)
 
     def text(v) -> str:
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             return str(v)
