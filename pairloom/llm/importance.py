@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .shared import written
+from .shared import small, written
 from .shingles import mix, slices, words
 
 #: Hash buckets of either model, and the count that every bucket has to begin with.
@@ -121,5 +121,5 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int =
 
 def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The texts of documents that any label calls of good quality."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
+    good = written(labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct(), "good")
+    return docs.join(small(good), F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
