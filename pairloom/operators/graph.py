@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..sources.storage import written
+from ..sources.storage import discard, small, written
 
 ROUNDS = 40
 
@@ -15,16 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     """Of links (a, b): a row for each node that has one: id, component, the smallest id of its component.
 
     Alternating large-star and small-star steps link neighbours to their smallest until the graph is a forest of stars;
-    the number of rounds grows as the logarithm of a component's size, and edges stay about as many as they were.
+    the number of rounds grows as the logarithm of a component's size, and edges stay about as many as they were. A node
+    may have any number of links: what is joined to them is broadcast, or a table of its own whose joins Spark can split.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for k in range(ROUNDS):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, f"links-{k}")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), f"least-{k}")
+        large = written(both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"large-{k}")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), f"lowest-{k}")
+        joined = large.join(small(lowest), "u")
+        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        old, edges = edges, written(moved, f"links-{k}")
+        discard(old, least, large, lowest)
         if edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
     else:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +25,28 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/pairloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written() has made, once nothing that is still to run reads them."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Most rows of a table of a few numbers a row that is broadcast: some 64 MB.
+BROADCAST = 2_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """``df``, a written table of a few numbers a row, for a join: broadcast if it has at most ``most`` rows, which is
+    counted, and otherwise left to Spark, which shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def write_texts(spark: SparkSession, texts: dict[str, str]) -> None:
