@@ -3,6 +3,7 @@ how much smaller it is than all pairs (reduction), and for how many queries it h
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,18 +76,29 @@ def top_k_metrics(ranked: DataFrame, counts: DataFrame, ks: list[int]) -> DataFr
     )
 
 
+def _pair_counts(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """What similarity.score_counts gives, of pairs that are there."""
+    counts = [x for k, t in enumerate(thresholds) for x in (F.count_if(F.col("score") >= t).alias(f"n{k}"), F.count_if((F.col("score") >= t) & is_match()).alias(f"t{k}"))]
+    return pairs.groupBy("query_id").agg(*counts)
+
+
 def threshold_metrics(pairs: DataFrame, counts: DataFrame, thresholds: list[float], floor: int = 0) -> DataFrame:
-    """A row for each threshold: pairs that reach it, or are among the query's ``floor`` best."""
+    """A row for each threshold: pairs that reach it, or are among the query's ``floor`` best. ``pairs`` are pairs, or, without
+    a floor, what similarity.score_counts gives for these thresholds."""
     counts = with_positives(counts)
-    rows = pairs.join(counts.select("query_id"), "query_id", "left_semi").withColumn("hit", is_match())
-    if floor and "rank" not in rows.columns:
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")))
-    aggregates = []
-    for k, t in enumerate(thresholds):
-        reach = F.col("score") >= t
-        chosen = reach | (F.col("rank") <= floor) if floor else reach
-        aggregates += [F.count_if(chosen).alias(f"n{k}"), F.count_if(chosen & F.col("hit")).alias(f"t{k}"), F.count_if(reach).alias(f"r{k}"), F.count_if(reach & F.col("hit")).alias(f"s{k}")]
-    per = rows.groupBy("query_id").agg(*aggregates)
+    if not floor:
+        per = _pair_counts(pairs, thresholds) if "score" in pairs.columns else pairs
+        per = per.join(counts.select("query_id"), "query_id", "left_semi").withColumns({f"{r}{k}": F.col(f"{c}{k}") for k in range(len(thresholds)) for r, c in ("rn", "st")})
+    else:
+        rows = pairs.join(counts.select("query_id"), "query_id", "left_semi").withColumn("hit", is_match())
+        if "rank" not in rows.columns:
+            rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")))
+        aggregates = []
+        for k, t in enumerate(thresholds):
+            reach = F.col("score") >= t
+            chosen = reach | (F.col("rank") <= floor)
+            aggregates += [F.count_if(chosen).alias(f"n{k}"), F.count_if(chosen & F.col("hit")).alias(f"t{k}"), F.count_if(reach).alias(f"r{k}"), F.count_if(reach & F.col("hit")).alias(f"s{k}")]
+        per = rows.groupBy("query_id").agg(*aggregates)
     grid = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), *[F.col(f"{c}{k}").alias(c) for c in "ntrs"]) for k, t in enumerate(thresholds)])).alias("g")
     per = per.select("query_id", grid).select("g.*", "query_id")
     out = per.groupBy("threshold").agg(F.sum("n").alias("candidate_pairs"), F.sum("t").alias("true_positives"), F.count_if(F.col("n") > 0).alias("covered"), (F.sum("n") - F.sum("r")).alias("floor_added"), (F.sum("t") - F.sum("s")).alias("floor_rescued"), F.count_if(F.col("r") < F.col("n")).alias("floor_queries"))
@@ -96,28 +108,46 @@ def threshold_metrics(pairs: DataFrame, counts: DataFrame, thresholds: list[floa
 
 
 def candidate_sizes(pairs: DataFrame, queries: DataFrame, thresholds: list[float]) -> DataFrame:
-    """For each threshold and size of candidate set, how many queries have it; queries with nothing count as size 0."""
-    per = pairs.groupBy("query_id").agg(*[F.count_if(F.col("score") >= t).alias(f"n{k}") for k, t in enumerate(thresholds)])
+    """For each threshold and size of candidate set, how many queries have it; queries with nothing count as size 0. ``pairs``
+    are pairs, or what similarity.score_counts gives."""
+    per = _pair_counts(pairs, thresholds) if "score" in pairs.columns else pairs
     per = queries.select(F.col("id").alias("query_id")).join(per, "query_id", "left").fillna(0)
     grid = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"n{k}").alias("size")) for k, t in enumerate(thresholds)])).alias("g")
     return per.select(grid).select("g.*").groupBy("threshold", "size").agg(F.count(F.lit(1)).alias("queries"))
 
 
+def histogram_bin(bins: int):
+    """The bin of a score among equal ones over [-1, 1], the last closed, for arrays; scores outside have the bin ``bins``."""
+    return lambda s: np.where(np.abs(s) <= 1, np.minimum(np.floor((s + 1) * bins / 2), bins - 1), bins)
+
+
 def score_histogram(pairs: DataFrame, bins: int = 80) -> DataFrame:
-    """Matches and other pairs in equal bins over [-1, 1], the last closed; empty bins are rows too."""
-    bin_ = F.least(F.floor((F.col("score") + 1) * bins / 2), F.lit(bins - 1)).cast("int")
-    found = pairs.where("score between -1 and 1").groupBy(bin_.alias("bin")).agg(F.count_if(is_match()).alias("matches"), F.count_if(~is_match()).alias("others"))
+    """Matches and other pairs in equal bins over [-1, 1], the last closed; empty bins are rows too. ``pairs`` are pairs, or
+    what similarity.score_bins gives for histogram_bin."""
+    if "score" in pairs.columns:
+        bin_ = F.least(F.floor((F.col("score") + 1) * bins / 2), F.lit(bins - 1)).cast("int")
+        pairs = pairs.where("score between -1 and 1").groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_match()).alias("tp"))
+    found = pairs.select(F.col("bin").cast("int").alias("bin"), F.col("tp").alias("matches"), (F.col("n") - F.col("tp")).alias("others"))
     every = pairs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(found, "bin", "left").fillna(0, ["matches", "others"])
 
 
+def curve_point(points: int):
+    """The last of ``points`` even thresholds on [-1, 1] that a score reaches, for arrays; 0 where it reaches none."""
+    step = 2.0 / (points - 1)
+    return lambda s: np.clip(np.floor(np.round((s + 1) / step, 9)), 0, points - 1)
+
+
 def threshold_curve(pairs: DataFrame, counts: DataFrame, points: int) -> DataFrame:
     """Counts at ``points`` even thresholds on [-1, 1]: each score falls in the last threshold that it reaches, and a
-    running sum from the top gives what reaches each, so pairs are read once whatever the number of points."""
+    running sum from the top gives what reaches each, so pairs are read once whatever the number of points. ``pairs`` are
+    pairs, or what similarity.score_bins gives for curve_point and queries that have a true pair."""
     step = 2.0 / (points - 1)
-    at = F.least(F.floor(F.round((F.col("score") + 1) / step, 9)), F.lit(points - 1)).cast("int")
-    rows = pairs.join(with_positives(counts).select("query_id"), "query_id", "left_semi")
-    found = rows.groupBy(at.alias("point")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_match()).alias("tp"))
+    if "score" in pairs.columns:
+        at = F.greatest(F.lit(0), F.least(F.floor(F.round((F.col("score") + 1) / step, 9)), F.lit(points - 1)))
+        rows = pairs.join(with_positives(counts).select("query_id"), "query_id", "left_semi")
+        pairs = rows.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_match()).alias("tp"))
+    found = pairs.select(F.col("bin").cast("int").alias("point"), "n", "tp")
     every = pairs.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
     above = Window.orderBy(F.desc("point"))  # over the points, not the pairs
     curve = every.join(found, "point", "left").fillna(0, ["n", "tp"])
@@ -126,12 +156,20 @@ def threshold_curve(pairs: DataFrame, counts: DataFrame, points: int) -> DataFra
     return curve.select("point", "threshold", "candidate_pairs", "true_positives", F.round(ratio(F.col("true_positives"), F.col("candidate_pairs")), 6).alias("precision"), F.round(ratio(F.col("true_positives"), F.col("positives")), 6).alias("recall"))
 
 
+def quantile_bin(width: float = 1e-4):
+    """The bin of ``width`` that a score of [-1, 1] is nearest to, for arrays."""
+    return lambda s: np.clip(np.rint((s + 1) / width), 0, round(2 / width))
+
+
 def quantiles_by_bins(scores: DataFrame, qs: list[float], width: float = 1e-4) -> DataFrame:
-    """Nearest-rank quantiles of scores in [-1, 1], to a bin of ``width``, in fixed memory; the ends are exact."""
+    """Nearest-rank quantiles of scores in [-1, 1], to a bin of ``width``, in fixed memory; the ends are exact. ``scores`` are
+    rows with a score, or what similarity.score_bins gives for quantile_bin."""
     top = round(2 / width)
-    bin_ = F.greatest(F.lit(0), F.least(F.lit(top), F.bround((F.col("score") + 1) / width))).cast("int")
-    binned = scores.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count(F.lit(1)).alias("total"))
+    if "score" in scores.columns:
+        bin_ = F.greatest(F.lit(0), F.least(F.lit(top), F.bround((F.col("score") + 1) / width))).cast("int")
+        scores = scores.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    binned = scores.select("bin", "n")
+    ends = scores.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("total"))
     upto = binned.withColumn("upto", F.sum("n").over(Window.orderBy("bin")))  # over the bins
     wanted = ends.select("low", "high", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total"))))
     hit = wanted.join(upto, F.col("upto") >= F.col("rank")).groupBy("q", "low", "high").agg(F.min("bin").alias("bin"))

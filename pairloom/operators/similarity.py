@@ -1,64 +1,216 @@
 """Similarity joins: all pairs of two sets of vectors, by blocks.
 
 Both sides are cut into blocks by hash, and every pair of blocks is one task that multiplies two matrices. A row is sent
-once for each block of the other side, never once for each row, and a task holds two blocks. With ``top`` or ``least`` a
-task hands on only what can still count, so nothing quadratic leaves it.
+once for each block of the other side, never once for each row, and a task holds two blocks. What is wanted of the scores
+(the best, those above a threshold, counts by query, bin or rank) is worked out in the task, which hands on that alone:
+only ``similarity_pairs`` without ``top`` and ``least`` gives all pairs, and no query of this package calls it so.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 #: Rows of a block.
 BLOCK = 2048
 #: Scores are rounded, so that order and ties don't hang on the order of additions.
 DIGITS = 9
+PAIR = "query_id long, candidate_id long, query_class long, candidate_class long, score double"
+
+
+@dataclass
+class Scores:
+    """Two blocks, candidates by rising id, and their scores: -inf for a row and itself. ``extra`` has what queries carry."""
+
+    q_id: np.ndarray
+    q_class: np.ndarray
+    c_id: np.ndarray
+    c_class: np.ndarray
+    score: np.ndarray
+    extra: list
+
+    def matches(self) -> np.ndarray:
+        return self.q_class[:, None] == self.c_class[None, :]
+
+    def there(self) -> np.ndarray:
+        return np.isfinite(self.score)
+
+    def pairs(self, keep: np.ndarray) -> pa.Table:
+        x, y = np.nonzero(keep & self.there())
+        return pa.table({"query_id": self.q_id[x], "candidate_id": self.c_id[y], "query_class": self.q_class[x], "candidate_class": self.c_class[y], "score": self.score[x, y]})
+
+    def best(self, top: int, among: np.ndarray) -> np.ndarray:
+        """Each query's ``top`` best of ``among``, ties by rising id."""
+        masked = np.where(among, self.score, -np.inf)
+        best = np.argsort(-masked, axis=1, kind="stable")[:, :top]
+        wanted = np.zeros(masked.shape, bool)
+        np.put_along_axis(wanted, best, True, axis=1)
+        return wanted & among
 
 
 def _blocks(rows: int, block: int) -> int:
     return max(1, -(-rows // block))
 
 
-def similarity_pairs(queries: DataFrame, candidates: DataFrame, top: int | None = None, least: float | None = None, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """Rows (query_id, candidate_id, query_class, candidate_class, score) of (id, class, vector) on both sides.
+def blockwise(queries: DataFrame, candidates: DataFrame, work: Callable[[Scores], pa.Table], kind: str, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+    """The union of what ``work`` gives, with schema ``kind``, for every pair of blocks of (id, class, vector) on both sides.
 
-    With ``top``, each query's ``top`` best per block of candidates or more; with ``least``, pairs that reach it; with
-    both, pairs that either keeps. Vectors are unit vectors; the score is their dot product in double precision.
+    Vectors are unit vectors; the score is their dot product in double precision. ``queries`` may have a column ``extra``, a
+    list of doubles that goes with each row.
     """
     nq, nc = _blocks(queries.count(), block), _blocks(candidates.count(), block)
-    side = lambda df, own, other, k: df.select(
-        F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"), F.lit(k).alias("side"), F.col("id").cast("long").alias("id"), F.col("class").cast("long").alias("class"), F.col("vector").cast("array<double>").alias("vector")
+    extra = F.col("extra") if "extra" in queries.columns else F.lit(None)
+    side = lambda df, own, other, k, more: df.select(
+        F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"), F.lit(k).alias("side"), F.col("id").cast("long").alias("id"), F.col("class").cast("long").alias("class"), F.col("vector").cast("array<double>").alias("vector"), more.cast("array<double>").alias("extra")
     )
-    left = side(queries, nq, nc, 0).withColumnsRenamed({"own": "i", "other": "j"})
-    right = side(candidates, nc, nq, 1).withColumnsRenamed({"own": "j", "other": "i"})
+    left = side(queries, nq, nc, 0, extra).withColumnsRenamed({"own": "i", "other": "j"})
+    right = side(candidates, nc, nq, 1, F.lit(None)).withColumnsRenamed({"own": "j", "other": "i"})
 
-    def multiply(group: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         at = group.column("side").to_numpy()
         ids, classes = group.column("id").to_numpy(), group.column("class").to_numpy()
-        vectors = group.column("vector").combine_chunks()
-        flat = vectors.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+        flat = group.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
         q, c = np.flatnonzero(at == 0), np.flatnonzero(at == 1)
         c = c[np.argsort(ids[c], kind="stable")]
         scores = np.round(flat[q] @ flat[c].T, DIGITS) + 0.0
         if exclude_self:
             scores[ids[q][:, None] == ids[c][None, :]] = -np.inf
-        keep = np.isfinite(scores)
+        return work(Scores(ids[q], classes[q], ids[c], classes[c], scores, group.column("extra").take(pa.array(q)).to_pylist()))
+
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(run, kind)
+
+
+def similarity_pairs(queries: DataFrame, candidates: DataFrame, top: int | None = None, least: float | None = None, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+    """Rows (query_id, candidate_id, query_class, candidate_class, score) of (id, class, vector) on both sides.
+
+    With ``top``, each query's ``top`` best per block of candidates or more; with ``least``, pairs that reach it; with
+    both, pairs that either keeps; with neither, all.
+    """
+
+    def work(s: Scores) -> pa.Table:
+        keep = s.there()
         if top is not None or least is not None:
             wanted = np.zeros_like(keep)
-            if top is not None and scores.size:
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-                np.put_along_axis(wanted, best, True, axis=1)
+            if top is not None:
+                wanted |= s.best(top, keep)
             if least is not None:
-                wanted |= scores >= least
+                wanted |= s.score >= least
             keep &= wanted
-        x, y = np.nonzero(keep)
-        return pa.table({"query_id": ids[q][x], "candidate_id": ids[c][y], "query_class": classes[q][x], "candidate_class": classes[c][y], "score": scores[x, y]})
+        return s.pairs(keep)
+
+    return blockwise(queries, candidates, work, PAIR, exclude_self, block)
+
+
+def score_counts(queries: DataFrame, candidates: DataFrame, thresholds: list[float], exclude_self: bool = True) -> DataFrame:
+    """For each query with a candidate: query_id, and for the k-th threshold the candidates (``n{k}``) and true ones
+    (``t{k}``) that reach it. A task gives a row a query."""
+
+    def work(s: Scores) -> pa.Table:
+        hit = s.matches()
+        columns = {"query_id": s.q_id}
+        for k, t in enumerate(thresholds):
+            reach = s.score >= t
+            columns |= {f"n{k}": reach.sum(1, dtype=np.int64), f"t{k}": (reach & hit).sum(1, dtype=np.int64)}
+        return pa.table(columns)
+
+    names = [f"{c}{k}" for k in range(len(thresholds)) for c in "nt"]
+    rows = blockwise(queries, candidates, work, "query_id long, " + ", ".join(f"{c} long" for c in names), exclude_self)
+    return rows.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def score_bins(queries: DataFrame, candidates: DataFrame, bin_of: Callable[[np.ndarray], np.ndarray], exclude_self: bool = True) -> DataFrame:
+    """Pairs by bins of their scores, ``bin_of`` giving numbers from 0 for an array of scores: bin, n, tp (the true pairs),
+    low and high (the least and largest score). A task gives a row a bin at most."""
 
-    kind = "query_id long, candidate_id long, query_class long, candidate_class long, score double"
-    return left.unionByName(right).groupBy("i", "j").applyInArrow(multiply, kind)
+    def work(s: Scores) -> pa.Table:
+        there = s.there()
+        scores, hit = s.score[there], s.matches()[there]
+        bins = bin_of(scores).astype(np.int64)
+        size = int(bins.max()) + 1 if len(bins) else 0
+        n, tp = np.bincount(bins, minlength=size), np.bincount(bins[hit], minlength=size)
+        low, high = np.full(size, np.inf), np.full(size, -np.inf)
+        np.minimum.at(low, bins, scores)
+        np.maximum.at(high, bins, scores)
+        found = np.flatnonzero(n)
+        return pa.table({"bin": found, "n": n[found], "tp": tp[found], "low": low[found], "high": high[found]})
+
+    rows = blockwise(queries, candidates, work, "bin long, n long, tp long, low double, high double", exclude_self)
+    return rows.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def scores_between(queries: DataFrame, candidates: DataFrame, spans: list[tuple[float, float]], exclude_self: bool = True) -> DataFrame:
+    """The distinct scores within closed spans, each with its pairs and true pairs: score, n, tp."""
+
+    def work(s: Scores) -> pa.Table:
+        keep = np.zeros(s.score.shape, bool)
+        for low, high in spans:
+            keep |= (s.score >= low) & (s.score <= high)
+        scores, where = np.unique(s.score[keep], return_inverse=True)
+        return pa.table({"score": scores, "n": np.bincount(where, minlength=len(scores)), "tp": np.bincount(where[s.matches()[keep]], minlength=len(scores))})
+
+    rows = blockwise(queries, candidates, work, "score double, n long, tp long", exclude_self)
+    return rows.groupBy("score").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+
+
+def true_ranks(queries: DataFrame, candidates: DataFrame, exclude_self: bool = True) -> DataFrame:
+    """The true pairs with their ranks among all candidates: query_id, query_class, candidate_id, rank, score.
+
+    A first pass gives the true pairs; they go along with their queries in a second, in which every task counts the
+    candidates of its block that come before each, by falling score and rising id. So a pair that isn't true is counted
+    where it arises and never sent.
+    """
+    truth = written(blockwise(queries, candidates, lambda s: s.pairs(s.matches()), PAIR, exclude_self), "true-pairs")
+    own = truth.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("candidate_id").alias("c"), F.col("score").alias("s")))).alias("of"))
+    flat = F.concat(F.transform("of", lambda x: x["s"]), F.transform("of", lambda x: x["c"].cast("double")))
+
+    def work(s: Scores) -> pa.Table:
+        out_q, out_c, out_n = [], [], []
+        for k, extra in enumerate(s.extra):
+            m = len(extra) // 2
+            scores, ids = np.array(extra[:m]), np.array(extra[m:]).astype(np.int64)
+            row = np.sort(s.score[k])
+            ahead = len(row) - np.searchsorted(row, scores, side="right")
+            for t in np.flatnonzero(np.searchsorted(row, scores, side="left") + ahead < len(row)):
+                ahead[t] += int(((s.score[k] == scores[t]) & (s.c_id < ids[t])).sum())
+            out_q += [s.q_id[k]] * m
+            out_c += ids.tolist()
+            out_n += ahead.tolist()
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "candidate_id": pa.array(out_c, pa.int64()), "ahead": pa.array(out_n, pa.int64())})
+
+    asked = queries.join(own.select("id", flat.alias("extra")), "id")
+    ahead = blockwise(asked, candidates, work, "query_id long, candidate_id long, ahead long", exclude_self)
+    ranks = ahead.groupBy("query_id", "candidate_id").agg((F.sum("ahead") + 1).cast("int").alias("rank"))
+    return truth.join(ranks, ["query_id", "candidate_id"]).select("query_id", "query_class", "candidate_id", "rank", "score")
+
+
+def nearest_negatives(queries: DataFrame, candidates: DataFrame, top: int, guarded: bool = False) -> DataFrame:
+    """Each query's ``top`` nearest candidates of other classes; ``guarded``: only those that don't score above its best
+    candidate of its own class (own_score), and none where it has none. A task gives ``top`` rows a query."""
+    if guarded:
+
+        def own_best(s: Scores) -> pa.Table:
+            best = np.where(s.matches(), s.score, -np.inf).max(1, initial=-np.inf)
+            found = np.isfinite(best)
+            return pa.table({"id": s.q_id[found], "own_score": best[found]})
+
+        own = written(blockwise(queries, candidates, own_best, "id long, own_score double").groupBy("id").agg(F.max("own_score").alias("own_score")), "own-best")
+        queries = queries.join(own.select("id", F.array("own_score").alias("extra")), "id")
+
+    def work(s: Scores) -> pa.Table:
+        among = s.there() & ~s.matches()
+        if guarded:
+            among &= s.score <= np.array([x[0] for x in s.extra])[:, None]
+        return s.pairs(s.best(top, among))
+
+    rows = ranked(blockwise(queries, candidates, work, PAIR), top)
+    return rows.join(own.withColumnRenamed("id", "query_id"), "query_id").select(*rows.columns[:-1], "own_score", "rank") if guarded else rows
 
 
 def ranked(pairs: DataFrame, top: int | None = None) -> DataFrame:

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..operators import metrics, protocol, registry, similarity, splits
 from ..sources.storage import shared_dir
 from .registry import query, table
-from .retrieval import PAIRS, all_pairs, counts, vectors
+from .retrieval import PAIRS, counts, vectors
 
 
 @query(f"""{PAIRS}, h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS n FROM p WHERE ql <> cl) SELECT ql::BIGINT AS query_class, count(*) AS negatives, round(avg(s), 6) AS mean_score FROM h WHERE n <= 10 GROUP BY 1""")
 def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mined negatives written as a table and scanned again."""
     path = f"{shared_dir(spark)}/pairloom/negatives-{uuid.uuid4().hex}"
-    similarity.hard_negatives(all_pairs(spark, sf_dir), 10).write.parquet(path)
+    v = vectors(spark, sf_dir)
+    similarity.nearest_negatives(v, v, 10).write.parquet(path)
     return spark.read.parquet(path).groupBy("query_class").agg(F.count(F.lit(1)).alias("negatives"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
@@ -99,10 +100,10 @@ def queue_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{PAIRS}, k AS (SELECT x AS split, qid, cid, hit, row_number() OVER (PARTITION BY x, qid ORDER BY s DESC, cid) AS rk FROM p0 JOIN (SELECT unnest([0, 1, 2]) AS x) y ON qid % 3 = x AND cid % 3 = x)
 SELECT split, count(*) AS candidate_pairs, count(*) FILTER (hit) AS true_positives FROM k WHERE rk <= 5 GROUP BY split""".replace("WITH p AS", "WITH p AS").replace("r AS (SELECT *,", "p0 AS (SELECT *, ql = cl AS hit FROM p), r AS (SELECT *,"))
 def split_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q08: all splits in one job, the split being a key: every vector in one of three."""
-    pairs_ = all_pairs(spark, sf_dir).withColumn("split", (F.col("query_id") % 3).cast("int")).where("candidate_id % 3 = split")
-    rows = similarity.ranked(pairs_, 5)
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(metrics.is_match()).alias("true_positives"))
+    """Q08: the same join for each split, every vector in one of three; a split's pairs stay among its own vectors."""
+    splits_ = [vectors(spark, sf_dir).where(F.col("id") % 3 == k) for k in range(3)]
+    runs = [similarity.ranked(similarity.similarity_pairs(v, v, top=5), 5).withColumn("split", F.lit(k)) for k, v in enumerate(splits_)]
+    return runs[0].union(runs[1]).union(runs[2]).groupBy("split").agg(F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(metrics.is_match()).alias("true_positives"))
 
 
 @query("""SELECT p_partkey AS id, round(len(regexp_replace(lower(p_name), '[^e]', '', 'g')) / greatest(1, len(regexp_replace(lower(p_name), '[^a-z]', '', 'g'))), 6) AS share_e, 26::BIGINT AS size FROM part""")

@@ -32,6 +32,11 @@ def all_pairs(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return similarity.similarity_pairs(v, v, **how)
 
 
+def true_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return similarity.true_ranks(v, v)
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     return metrics.class_counts(v, v)
@@ -57,7 +62,8 @@ f AS (SELECT t, sum(n) AS n, sum(tp) AS tp, count(*) FILTER (n > 0) AS cov FROM
 SELECT t AS threshold, n::BIGINT AS candidate_pairs, tp::BIGINT AS true_positives, {POOLED} FROM f CROSS JOIN tot""")
 def threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the pairs that reach a threshold."""
-    return metrics.threshold_metrics(all_pairs(spark, sf_dir), counts(spark, sf_dir), THRESHOLDS)
+    v = vectors(spark, sf_dir)
+    return metrics.threshold_metrics(similarity.score_counts(v, v, THRESHOLDS), counts(spark, sf_dir), THRESHOLDS)
 
 
 @query(f"""{PAIRS}, g AS (SELECT t, qid, count(*) FILTER (s >= t OR rk <= 5) AS n, count(*) FILTER ((s >= t OR rk <= 5) AND hit) AS tp, count(*) FILTER (s >= t) AS rn, count(*) FILTER (s >= t AND hit) AS rt
@@ -79,7 +85,8 @@ o AS (SELECT target, any_value(positives) AS positives, any_value(possible) AS p
   round(1 - n / possible, 6) AS reduction_ratio, threshold IS NOT NULL AS attained FROM o""")
 def target_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest threshold that reaches a completeness; 1.5 can't be reached and stays null."""
-    return calibrate.target_operating_points(all_pairs(spark, sf_dir), counts(spark, sf_dir), [*TARGETS, 1.5])
+    v = vectors(spark, sf_dir)
+    return calibrate.joined_operating_points(v, v, [*TARGETS, 1.5])
 
 
 HALVES = PAIRS.replace("ON q.vec_id <> c.vec_id)", "ON q.vec_id <> c.vec_id AND (q.label < 5) = (c.label < 5))")
@@ -94,8 +101,7 @@ def calibrated_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of the classes below five, frozen, on the other classes."""
     v = vectors(spark, sf_dir)
     one, two = v.where("class < 5"), v.where("class >= 5")
-    points = calibrate.target_operating_points(similarity.similarity_pairs(one, one), metrics.class_counts(one, one), TARGETS)
-    return calibrate.transferred(points, similarity.similarity_pairs(two, two), metrics.class_counts(two, two))
+    return calibrate.joined_transferred(calibrate.joined_operating_points(one, one, TARGETS), two, two)
 
 
 @query(f"""{PAIRS}, g AS (SELECT k, count(*) FILTER (hit) AS tp FROM (SELECT unnest({KS}) AS k) ks JOIN r ON rk <= k SEMI JOIN (SELECT qid FROM cnt WHERE np > 0) c USING (qid) GROUP BY k),
@@ -110,14 +116,16 @@ def calibrated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{PAIRS} SELECT t AS threshold, n AS size, count(*) AS queries FROM (SELECT t, qid, count(*) FILTER (s >= t) AS n FROM r CROSS JOIN (SELECT unnest([0.2, 0.3]::DOUBLE[]) AS t) ts GROUP BY ALL) g GROUP BY ALL""")
 def candidate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidates a query gets."""
-    return metrics.candidate_sizes(all_pairs(spark, sf_dir), vectors(spark, sf_dir), [0.2, 0.3])
+    v = vectors(spark, sf_dir)
+    return metrics.candidate_sizes(similarity.score_counts(v, v, [0.2, 0.3]), v, [0.2, 0.3])
 
 
 @query(f"""{PAIRS}, h AS (SELECT least(floor((s + 1) * 80 / 2), 79)::INT AS bin, count(*) FILTER (hit) AS m, count(*) FILTER (NOT hit) AS o FROM r WHERE s BETWEEN -1 AND 1 GROUP BY 1)
 SELECT b.bin::INT AS bin, coalesce(m, 0) AS matches, coalesce(o, 0) AS others FROM range(80) b(bin) LEFT JOIN h ON h.bin = b.bin""")
 def similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of matches and others in 80 bins."""
-    return metrics.score_histogram(all_pairs(spark, sf_dir))
+    v = vectors(spark, sf_dir)
+    return metrics.score_histogram(similarity.score_bins(v, v, metrics.histogram_bin(80)))
 
 
 @query(f"""{PAIRS}, h AS (SELECT least(floor(round((s + 1) / 0.001, 9)), 2000)::INT AS point, count(*) AS n, count(*) FILTER (hit) AS tp FROM r WHERE qid IN (SELECT qid FROM cnt WHERE np > 0) GROUP BY 1),
@@ -125,7 +133,9 @@ c AS (SELECT b.point::INT AS point, sum(coalesce(n, 0)) OVER (ORDER BY b.point D
 SELECT point, round(point * 0.001 - 1, 6) AS threshold, n::BIGINT AS candidate_pairs, tp::BIGINT AS true_positives, round(CASE WHEN n > 0 THEN tp / n ELSE 0 END, 6) AS precision, round(tp / positives, 6) AS recall FROM c CROSS JOIN tot""")
 def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall at 2001 thresholds."""
-    return metrics.threshold_curve(all_pairs(spark, sf_dir), counts(spark, sf_dir), 2001)
+    v, of = vectors(spark, sf_dir), counts(spark, sf_dir)
+    asked = v.join(metrics.with_positives(of).select(F.col("query_id").alias("id")), "id", "left_semi")
+    return metrics.threshold_curve(similarity.score_bins(asked, v, metrics.curve_point(2001)), of, 2001)
 
 
 @query(f"""{PAIRS}, h AS (SELECT greatest(0, least(20000, round_even((s + 1) / 1e-4, 0)))::INT AS bin, count(*) AS n FROM r GROUP BY 1),
@@ -133,28 +143,29 @@ u AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto FROM h), e AS (SELECT min(s
 SELECT q, round(CASE WHEN q <= 0 THEN any_value(lo) WHEN q >= 1 THEN any_value(hi) ELSE min(bin) * 1e-4 - 1 END, 4) AS score FROM (SELECT unnest([0, 0.25, 0.5, 0.75, 0.99, 1]::DOUBLE[]) AS q) t CROSS JOIN e JOIN u ON upto >= greatest(1, ceil(q * total)) GROUP BY q""")
 def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank quantiles in fixed memory."""
-    return metrics.quantiles_by_bins(all_pairs(spark, sf_dir), [0.0, 0.25, 0.5, 0.75, 0.99, 1.0])
+    v = vectors(spark, sf_dir)
+    return metrics.quantiles_by_bins(similarity.score_bins(v, v, metrics.quantile_bin()), [0.0, 0.25, 0.5, 0.75, 0.99, 1.0])
 
 
 @query(f"""{PAIRS}, v AS (SELECT * FROM r WHERE hit), u AS (SELECT rk, sum(count(*)) OVER (ORDER BY rk) AS upto FROM v GROUP BY rk)
 SELECT target, min(rk) AS k FROM (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS target) t CROSS JOIN (SELECT count(*) AS total FROM v) n JOIN u ON upto >= ceil(target * total - 1e-9) GROUP BY target""")
 def smallest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest k with a pooled completeness."""
-    return metrics.smallest_k(metrics.rank_view(similarity.ranked(all_pairs(spark, sf_dir))), [0.5, 0.9, 0.95, 0.99])
+    return metrics.smallest_k(true_ranks(spark, sf_dir), [0.5, 0.9, 0.95, 0.99])
 
 
 @query(f"""{PAIRS}, v AS (SELECT ql, k, count(*) AS n, count(*) FILTER (rk <= k) AS f FROM r CROSS JOIN (SELECT unnest([10, 40, 160]) AS k) ks WHERE hit GROUP BY ALL)
 SELECT k, round(avg(f / n), 6) AS identity_pc, round(sum(f) / sum(n), 6) AS pooled_pc, count(*) AS classes FROM v GROUP BY k""")
 def identity_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness by class and pooled."""
-    return metrics.identity_completeness(metrics.rank_view(similarity.ranked(all_pairs(spark, sf_dir))), [10, 40, 160])
+    return metrics.identity_completeness(true_ranks(spark, sf_dir), [10, 40, 160])
 
 
 @query(f"""{PAIRS}, l AS (SELECT ql, count(*) AS missed FROM r WHERE hit AND rk > 40 GROUP BY ql)
 SELECT ql::BIGINT AS query_class, missed, round(missed / sum(missed) OVER (), 6) AS share FROM l ORDER BY missed DESC, ql LIMIT 3""")
 def misses_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three classes with most true pairs beyond rank 40."""
-    return metrics.misses(metrics.rank_view(similarity.ranked(all_pairs(spark, sf_dir))), 40, 3)
+    return metrics.misses(true_ranks(spark, sf_dir), 40, 3)
 
 
 @query(f"""{PAIRS}, l AS (SELECT k, ql, 1 - count(*) FILTER (rk <= k) / count(*) AS loss FROM r CROSS JOIN (SELECT unnest([20, 80, 160, 320, 480]) AS k) ks WHERE hit GROUP BY ALL),
@@ -164,7 +175,7 @@ z AS (SELECT alpha, coalesce(max(k) FILTER (NOT holds), -1) AS failed FROM g GRO
 SELECT z.alpha, min(g.k) AS k, round(arg_min(g.bound, g.k), 6) AS bound, ceil(round(1 / z.alpha, 9) - 1)::BIGINT AS classes_needed FROM z LEFT JOIN g ON g.alpha = z.alpha AND g.k > failed GROUP BY z.alpha""")
 def conformal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K with certified risk."""
-    view = metrics.rank_view(similarity.ranked(all_pairs(spark, sf_dir)))
+    view = true_ranks(spark, sf_dir)
     return certify.conformal_points(certify.class_losses(view, [20, 80, 160, 320, 480]), [0.05, 0.25, 0.5])
 
 
@@ -172,13 +183,13 @@ def conformal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.ql::BIGINT AS largest_class, round(sum(v.f) / sum(v.n), 6) AS pooled_pc, round((sum(v.f) - x.f) / (sum(v.n) - x.n), 6) AS pc_without, round(x.f / x.n, 6) AS pc_of_largest FROM v CROSS JOIN x GROUP BY x.ql, x.f, x.n""")
 def without_largest_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness without the largest class."""
-    return certify.without_largest(metrics.rank_view(similarity.ranked(all_pairs(spark, sf_dir))), 40)
+    return certify.without_largest(true_ranks(spark, sf_dir), 40)
 
 
 @query()
 def bootstrap_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the completeness at two k over resampled classes, and of their difference; draws are seeded."""
-    view = metrics.rank_view(similarity.ranked(all_pairs(spark, sf_dir)))
+    view = true_ranks(spark, sf_dir)
     losses = certify.class_losses(view, [10, 40]).withColumn("value", 1 - F.col("loss"))
     classes = sorted(r["class"] for r in vectors(spark, sf_dir).select("class").distinct().collect())
     draws = spark.createDataFrame(certify.bootstrap_draws(classes, 2000, 0), "resample int, class long, times int")
@@ -216,7 +227,7 @@ m AS (SELECT least(qid, cid) AS a, greatest(qid, cid) AS b, avg(s) AS s, min(rk)
 
 
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.candidates_by_rule(all_pairs(spark, sf_dir), 0.35, 3)
+    return similarity.candidates_by_rule(all_pairs(spark, sf_dir, top=3, least=0.35), 0.35, 3)
 
 
 @query(f"""{DIRECTED} SELECT a, b, round(s, 6) AS score, ra::INT AS rank_a_to_b, rb::INT AS rank_b_to_a, fa AS retrieved_from_a, fb AS retrieved_from_b, concat_ws(';', CASE WHEN t THEN 'threshold' END, CASE WHEN w THEN 'window' END) AS reasons FROM m""")
@@ -241,14 +252,16 @@ def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{PAIRS}, h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS n FROM p WHERE ql <> cl) SELECT qid AS query_id, cid AS candidate_id, ql::BIGINT AS query_class, cl::BIGINT AS candidate_class, s AS score, n::INT AS rank FROM h WHERE n <= 5""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of other classes."""
-    return similarity.hard_negatives(all_pairs(spark, sf_dir), 5)
+    v = vectors(spark, sf_dir)
+    return similarity.nearest_negatives(v, v, 5)
 
 
 @query(f"""{PAIRS}, o AS (SELECT qid, max(s) AS own FROM p WHERE ql = cl GROUP BY qid), h AS (SELECT p.*, own, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS n FROM p JOIN o USING (qid) WHERE ql <> cl AND s <= own)
 SELECT qid AS query_id, cid AS candidate_id, ql::BIGINT AS query_class, cl::BIGINT AS candidate_class, s AS score, own AS own_score, n::INT AS rank FROM h WHERE n <= 5""")
 def guarded_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives below the query's own best."""
-    return similarity.guarded_negatives(all_pairs(spark, sf_dir), 5)
+    v = vectors(spark, sf_dir)
+    return similarity.nearest_negatives(v, v, 5, guarded=True)
 
 
 @query(f"""{PAIRS}, x AS (SELECT *, max(s) OVER (PARTITION BY qid) AS best FROM r) SELECT qid AS query_id, cid AS candidate_id, ql::BIGINT AS query_class, cl::BIGINT AS candidate_class, s AS score, rk::INT AS rank FROM x WHERE rk <= 20 AND (s >= 0.4 OR (best < 0.4 AND best >= 0.3 AND rk = 1))""")
