@@ -9,8 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that titles are compared without.
-STOP_WORDS = ("a", "an", "and", "by", "de", "der", "des", "die", "du", "el", "in", "la", "le", "les", "of", "on", "the", "und", "von", "with")
+#: Words that titles are compared without, in catalogues of many languages and in those with German titles.
+STOP_WORDS = ("a", "an", "the", "of", "and", "le", "la", "les", "el", "der", "die", "das")
+GERMAN_STOP_WORDS = ("a", "an", "the", "of", "and", "le", "la", "les", "el", "der", "die", "das", "des", "den", "dem", "ein", "eine", "und", "von", "van", "de")
+#: Words of artists' names that many names have, and titles that many works have.
+GENERIC_ARTIST = (
+    "master", "painter", "andrea", "giovanni", "unknown", "unbekannt", "unbekannte", "school", "schule", "werkstatt", "nachfolger", "artist", "maler", "anonymous", "anonym", "copy", "kopie", "workshop", "follower", "attributed",
+)
+GENERIC_TITLE = (
+    "portrait of a man", "portrait of a woman", "portrait of a lady", "portrait of a girl", "madonna and child", "madonna with child", "crucifixion", "the crucifixion", "landscape", "a landscape", "still life", "self portrait",
+    "head of a man", "head of a woman", "flowers", "study", "bildnis", "landschaft", "stillleben", "kreuzigung", "madonnenbild",
+)
 
 
 def pair_id(a_id: Column, a_sha: Column, b_id: Column, b_sha: Column) -> Column:
@@ -78,5 +87,40 @@ def tags(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")))
 
 
-def generic_title(norm: Column, generic: Iterable[str]) -> Column:
-    return norm.isin(*generic) | (F.size(token_set(norm)) < 3)
+def generic_title(norm: Column, generic: Iterable[str] = GENERIC_TITLE) -> Column:
+    """Whether a normalised title says too little: empty, one of ``generic``, or of fewer than three words."""
+    return norm.isin(*generic) | (F.size(F.filter(F.split(norm, " "), lambda w: w != "")) < 3)
+
+
+def specific_tokens(norm: Column, generic: Iterable[str] = GENERIC_ARTIST) -> Column:
+    """The words of a normalised name that tell it from others: of four letters or more, and none of ``generic``."""
+    unwanted = F.array(*[F.lit(w) for w in generic])
+    return F.filter(token_set(norm), lambda w: (F.length(w) >= 4) & ~F.array_contains(unwanted, w))
+
+
+def match_verdict(title_a: Column, title_b: Column, artist_a: Column, artist_b: Column, score: Column, exact: Column) -> Column:
+    """What a match of normalised titles is worth: obvious_false_positive where specific titles agree but the artists' words
+    don't, likely where both agree, else uncertain."""
+    one, two = specific_tokens(artist_a), specific_tokens(artist_b)
+    shared = F.arrays_overlap(one, two)
+    specific = ~generic_title(title_a) & ~generic_title(title_b)
+    wrong = specific & (F.size(one) > 0) & (F.size(two) > 0) & ~shared & (score >= 0.8)
+    return F.when(wrong, "obvious_false_positive").when(specific & shared & ((score >= 0.9) | exact), "likely").otherwise("uncertain")
+
+
+def grouped_number(number: Column, digits: int = 0) -> Column:
+    """A number with commas between thousands and fixed digits after the point."""
+    return F.format_number(number, digits)
+
+
+def share_label(share: Column, digits: int = 3) -> Column:
+    """A share with fixed digits and without the zero before the point, as tables print it; 1 keeps its one."""
+    return F.regexp_replace(F.format_number(share, digits), r"^(-?)0(?=\.)", "$1")
+
+
+def latex_escape(text: Column) -> Column:
+    """Text whose special signs LaTeX prints as they are."""
+    text = F.regexp_replace(text, r"\\", "\x01")
+    text = F.regexp_replace(text, r"([&%$#_{}])", r"\\$1")
+    text = F.regexp_replace(F.regexp_replace(text, "~", r"\\textasciitilde{}"), r"\^", r"\\textasciicircum{}")
+    return F.regexp_replace(text, "\x01", r"\\textbackslash{}")

@@ -143,9 +143,19 @@ def complete_protocols(rows: DataFrame, group: str, key: str, expected: list) ->
     return rows.join(whole, group, "left_semi")
 
 
-def severity(x: Column) -> tuple[Column, Column]:
-    """A score of a transform's strength in [0, 1], and its bucket."""
-    return x, F.when(x < 0.25, "easy").when(x < 0.6, "medium").when(x < 0.85, "hard").otherwise("extreme")
+def severity(transforms: Column) -> tuple[Column, Column]:
+    """Of the JSON of an image's transforms: how strong they are, from 0 to 1, and the bucket: mild, medium, hard, extreme.
+
+    What is missing counts as not done. The weights and cuts are fixed values.
+    """
+    number = lambda path, default: F.coalesce(F.get_json_object(transforms, f"$.{path}").cast("double"), F.lit(default))
+    done = lambda path, weight: F.when(F.get_json_object(transforms, f"$.{path}.applied") == "true", weight).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), 1.0 - number("crop.retained_area_fraction", 1.0)) * 0.40
+    score += F.greatest(F.lit(0.0), F.least(F.lit(1.0), (192 - F.floor(number("resolution_loss.longest_side_pixels", 1024.0))) / 160.0)) * 0.45
+    score += done("perspective", 0.10) + F.least(F.lit(0.10), number("occlusion.coverage", 0.0)) + done("annotations", 0.05) + done("paper_document", 0.05)
+    score += F.when(F.floor(number("jpeg.quality", 100.0)) <= 72, 0.08).otherwise(0.0)
+    score = F.round(F.least(F.lit(1.0), score), 6)
+    return score, F.when(score >= 0.72, "extreme").when(score >= 0.50, "hard").when(score >= 0.25, "medium").otherwise("mild")
 
 
 def greedy_boxes(boxes: DataFrame, least: float) -> DataFrame:

@@ -136,9 +136,10 @@ JACC = "round(len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.
 @query(f"""{PARTS}, k AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT id, unnest(list_filter(ws, lambda v: length(v) >= 5)) AS tok FROM w) x JOIN (SELECT id, unnest(list_filter(ws, lambda v: length(v) >= 5)) AS tok FROM w) y USING (tok) WHERE x.id < y.id),
 s AS (SELECT a, b, {JACC} AS score FROM k JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE x.norm <> y.norm) SELECT score, count(*) AS pairs FROM s WHERE score >= 0.3 GROUP BY score""")
 def token_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that share a long word of their names, by similarity."""
-    rows = blocking.token_pairs(parts(spark, sf_dir), parts(spark, sf_dir), least=0.3).where("a < b")
-    return rows.groupBy("score").agg(F.count(F.lit(1)).alias("pairs"))
+    """Parts that share a long word of their names, by similarity; a title's rows count by their number."""
+    titles = blocking.distinct_titles(parts(spark, sf_dir))
+    met = blocking.similar_titles(titles, titles, 5, 0.3).where("norm_a < norm_b")
+    return met.groupBy("score").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("pairs"))
 
 
 @query(f"{PARTS} SELECT x.norm, count(*) AS pairs FROM w x JOIN w y ON x.norm = y.norm AND x.id < y.id WHERE x.norm <> '' GROUP BY x.norm")
@@ -152,16 +153,9 @@ def title_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT x.norm AS a, y.norm AS b, x.norm = y.norm AS exact, {JACC} AS score FROM n x JOIN n y ON x.norm <> y.norm AND len(list_intersect(x.ws, y.ws)) > 0)
 SELECT a, b, exact, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY exact DESC, score DESC, b) AS n FROM s) z WHERE n = 1""")
 def best_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each part name the most similar other one."""
+    """For each part name the most similar other one."""
     names = parts(spark, sf_dir).select(F.col("norm").alias("id"), "norm").distinct()
-    from pyspark.sql import Window
-
-    words = names.select("id", strings.token_set(F.col("norm")).alias("ws"))
-    one = words.select(F.col("id").alias("a"), F.col("ws").alias("wa"), F.explode("ws").alias("t"))
-    two = words.select(F.col("id").alias("b"), F.col("ws").alias("wb"), F.explode("ws").alias("t"))
-    met = one.join(two, "t").where("a <> b").groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"))
-    met = met.select("a", "b", F.lit(False).alias("exact"), F.round(strings.jaccard(F.col("wa"), F.col("wb")), 6).alias("score"))
-    return met.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("exact"), F.desc("score"), "b"))).where("n = 1").drop("n")
+    return blocking.best_titles(names, names, other=True)
 
 
 @query(f"""{PARTS}, k AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT id, unnest(ws) AS tok FROM w) x JOIN (SELECT id, unnest(ws) AS tok FROM w) y USING (tok) WHERE x.id < y.id),
@@ -169,13 +163,19 @@ s AS (SELECT k.a, k.b, {JACC} AS score, p.p_brand = q.p_brand AS sb, x.norm = y.
 f AS (SELECT *, concat_ws(';', CASE WHEN same THEN 'same_title' END, CASE WHEN score >= 0.5 AND sb THEN 'title_and_brand' END, CASE WHEN score >= 0.5 AND sz THEN 'title_and_size' END) AS reasons, CASE WHEN same THEN 0 WHEN score >= 0.5 AND sb THEN 1 WHEN score >= 0.5 AND sz THEN 2 END AS priority FROM s)
 SELECT reasons, count(*) AS pairs FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY priority, score DESC, b) AS place FROM f WHERE priority IS NOT NULL) z WHERE place <= 10 GROUP BY reasons""")
 def title_rules_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules with a cap for each part."""
-    p = parts(spark, sf_dir)
-    about = lambda k: p.select(F.col("id").alias(k), F.col("norm").alias(f"n{k}"), F.col("p_brand").alias(f"r{k}"), F.col("p_size").alias(f"s{k}"))
-    met = blocking.token_pairs(p, p, length=1, least=0.0, exact=True).where("a < b").join(about("a"), "a").join(about("b"), "b")
-    like = F.col("score") >= 0.5
-    rules = [("same_title", F.col("na") == F.col("nb")), ("title_and_brand", like & (F.col("ra") == F.col("rb"))), ("title_and_size", like & (F.col("sa") == F.col("sb")))]
-    return blocking.ruled_pairs(met, rules, 10).groupBy("reasons").agg(F.count(F.lit(1)).alias("pairs"))
+    """Ordered rules with a cap for each part. A part needs no more than the cap of any rule's candidates, which
+    are the next larger ids with the same title, or with a similar title and the same brand or size."""
+    p, cap = parts(spark, sf_dir).select("id", "norm", "p_brand", "p_size"), 10
+    titles = blocking.distinct_titles(p)
+    like = blocking.similar_titles(titles, titles, 1, 0.5).select("norm_a", "norm_b", "score")
+    asks = p.join(like.select(F.col("norm_a").alias("norm"), F.col("norm_b").alias("title")), "norm")
+    members = p.withColumnRenamed("norm", "title")
+    keys = (["title"], ["title", "p_brand"], ["title", "p_size"])
+    own, brand, size = [blocking.next_members(asks.where("norm = title") if k == 0 else asks, members, key, cap) for k, key in enumerate(keys)]
+    about = lambda k: p.select(F.col("id").alias(k), F.col("norm").alias(f"norm_{k}"), F.col("p_brand").alias(f"r{k}"), F.col("p_size").alias(f"s{k}"))
+    met = own.union(brand).union(size).distinct().join(about("a"), "a").join(about("b"), "b").join(like, ["norm_a", "norm_b"])
+    rules = [("same_title", F.col("norm_a") == F.col("norm_b")), ("title_and_brand", F.col("ra") == F.col("rb")), ("title_and_size", F.col("sa") == F.col("sb"))]
+    return blocking.ruled_pairs(met, rules, cap).groupBy("reasons").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("""SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS item, arg_max(event_type, (ts, event_id)) AS decision, count(*) AS events FROM events GROUP BY ALL""")
