@@ -9,16 +9,20 @@ different sets is lost, and only classes that the links would give anyway save w
    is in hardly any prefix. A block is the sets that have a shingle in their prefixes.
 3. Stars. In each block every set looks to the one with the smallest id; each set's most frequent partner is compared
    exactly, and the links found give a first set of components. Groups of copies collapse here, whatever their size.
-4. What is left of a block is pairs of different components. In short blocks they are joined, and a pair goes on if the
-   number of shingles that its prefixes share allows 4/5. A long block is cut into tiles; each pair of tiles is searched
-   by two signature trees, whose nodes hold size ranges and the OR of their sets' bitmaps: a pair of nodes is left when
-   the largest possible overlap of any two of their sets is too small.
+4. What is left of a block is pairs of different components. Blocks no larger than a leaf are joined, and a pair goes on
+   if the number of shingles that its prefixes share allows 4/5. Of the others, those with the same centre make one
+   neighbourhood, which is cut into tiles; each pair of tiles is searched by two signature trees, whose nodes hold size
+   ranges and the OR of their sets' bitmaps: a pair of nodes is left when the largest possible overlap of any two of
+   their sets is too small. A pair that meets in several neighbourhoods is given by the first.
 5. Pairs that went on are compared exactly; their links join the components.
+
+A document's whole set is written once, when a pair first needs it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..session import ship_package
-from .shared import small, written
+from . import shared
+from .shared import discard, small, written
 from .shingles import shingle_sets
 
 #: Links need a similarity of NUMERATOR / DENOMINATOR.
@@ -37,13 +42,17 @@ HEAD = 0.3
 #: A shingle of more heads than FREQUENT is ordered last; at most MOST_FREQUENT of them, the most frequent, are broadcast.
 #: Which shingles these are decides how long blocks are, not what is found.
 FREQUENT, MOST_FREQUENT = 24, 200_000
-#: Blocks of more sets than this are long.
-LONG = 32
-#: Parts into which a long block is dealt where its sets are joined to something.
-PARTS = 64
-#: Sets of a tile and of a leaf of its tree, and bits of a set's bitmap.
-TILE, LEAF, BITS = 256, 8, 512
-BASE = "id long, n long, k1 long, k2 long, bits binary, head array<long>"
+#: Sets of a tile, of a leaf of its tree, and shingles of all a tile's sets.
+TILE, LEAF, TILE_SHINGLES = 256, 8, 1 << 22
+#: Blocks of more sets than this are long: signature trees search them.
+LONG = LEAF
+#: Neighbourhoods of a set that are listed with it; the pairs of a set of more may be given more than once.
+LISTED = 64
+#: Pairs of one set that a task compares exactly; what is above goes to others.
+HELD = 10_000
+#: Bytes of bitmaps that are compared at a time.
+COMPARED = 1 << 23
+BASE = "id long, n long, k1 long, k2 long, head array<long>"
 
 
 def prefix_size(n: np.ndarray | int):
@@ -51,12 +60,26 @@ def prefix_size(n: np.ndarray | int):
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(own >> np.uint64(40)).astype(np.int64) % BITS] = True
+def bit_count(n: int) -> int:
+    """Bits of the bitmap of a set of ``n``: 16 to 32 a shingle, and as many as a set needs that is compared to larger ones."""
+    kind = n.bit_length() - 1
+    return 1 << max(6, kind + 5 + (n * DENOMINATOR >= NUMERATOR << (kind + 1)))
+
+
+def bitmap(own: np.ndarray, size: int | None = None) -> bytes:
+    bits = np.zeros(size or bit_count(len(own)), bool)
+    bits[(own >> np.uint64(20)).astype(np.int64) & (len(bits) - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap in ``width`` 64-bit words, from one as wide or wider by powers of two."""
+    words = np.frombuffer(bits, np.uint64)
+    while len(words) > width:
+        words = words[: len(words) // 2] | words[len(words) // 2 :]
+    return words
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -71,7 +94,7 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """Of (id, text): size, two sums that name the set, bitmap and head of each set."""
+    """Of (id, text): size, two sums that name the set, and head of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +102,8 @@ def base_table(docs: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 sums = [(int(s.view(np.int64).sum()), int((s * (s >> np.uint64(7)) ^ s).view(np.int64).sum())) for s in sets]
             heads = [s[: int(len(s) * HEAD) + 1] for s in sets]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1)], pa.array([bitmap(s) for s in sets], pa.binary()), _lists(heads)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "bits", "head"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1)], _lists(heads)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "head"])
 
     return written(docs.mapInArrow(run, BASE), "sets")
 
@@ -102,6 +125,38 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(docs.join(small(ids.toDF("id")), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s array<long>"), "whole")
 
 
+class Sets:
+    """Whole sets, each written once, when it is first asked for. Where more are asked for than a broadcast holds, and the
+    texts have to be shuffled, those of all sets in ``blocks`` (id, ...) are written, so that it happens once."""
+
+    def __init__(self, docs: DataFrame, blocks: DataFrame):
+        self.docs, self.blocks, self.ids, self.tables = docs, blocks, [], []
+
+    def have(self, ids: DataFrame) -> None:
+        """See to the sets of distinct ``ids``."""
+        new = written(self._without(ids), "asked")
+        n = new.count()
+        if n > shared.BROADCAST:
+            discard(new)
+            new = written(self._without(self.blocks.select("id").distinct()), "asked")
+        if n or not self.tables:
+            self.ids.append(new)
+            self.tables.append(sets_of(self.docs, new))
+
+    def _without(self, ids: DataFrame) -> DataFrame:
+        for have in self.ids:
+            ids = ids.join(small(have), "id", "left_anti")
+        return ids
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, s) of the written table of distinct ``ids``."""
+        self.have(ids)
+        return reduce(DataFrame.union, self.tables).join(small(ids), "id", "left_semi")
+
+    def discard(self) -> None:
+        discard(*self.ids, *self.tables)
+
+
 def representatives(base: DataFrame) -> DataFrame:
     """(id, rep) of the sets that equal one of a smaller id, rep being the smallest. Empty sets equal nothing."""
     same = written(base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1"), "classes")
@@ -157,15 +212,30 @@ def postings(docs: DataFrame, base: DataFrame, frequent: np.ndarray) -> DataFram
 
     heads = base.select("id", "n", "head")
     kind = "h long, id long, n long"
-    whole = sets_of(docs, written(heads.mapInArrow(untold, "id long"), "untold"))
-    return heads.mapInArrow(from_heads, kind).union(whole.mapInArrow(from_sets, kind))
+    asked = written(heads.mapInArrow(untold, "id long"), "untold")
+    whole = sets_of(docs, asked)
+    found = written(heads.mapInArrow(from_heads, kind).union(whole.mapInArrow(from_sets, kind)), "postings")
+    discard(asked, whole)
+    return found
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those that link, as a written table."""
+def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """Of distinct pairs (a, b), those that link, as a written table. Both ends' sets are joined to a pair; an end with more
+    than HELD pairs is dealt out, its set going to each part."""
     pairs = written(pairs.select("a", "b"), "pairs")
-    sets = sets_of(docs, pairs.select("a").union(pairs.select("b")).distinct())
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    if pairs.isEmpty():
+        return pairs
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    rows, whole, sides, done = pairs, sets.of(ids), [], [pairs, ids]
+    parts = F.coalesce("parts", F.lit(1))
+    for end, other in (("a", "b"), ("b", "a")):
+        many = written(pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("parts")).where("parts > 1"), "many")
+        rows = rows.join(small(many), end, "left").withColumn(f"deal_{end}", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+        own = whole.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")).join(small(many), end, "left")
+        sides.append((end, own.select(end, f"s{end}", F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"deal_{end}"))))
+        done.append(many)
+    for end, own in sides:
+        rows = rows.join(own, [end, f"deal_{end}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +245,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "linked")
+    linked = written(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "linked")
+    discard(*done)
+    return linked
 
 
 def _spare(n: Column) -> Column:
@@ -184,24 +256,23 @@ def _spare(n: Column) -> Column:
 
 
 def star_pairs(blocks: DataFrame, seed: int) -> DataFrame:
-    """Of (h, id, n, long, comp): a pair for each set of which some block's centre is of another component: the centre met most
+    """Of (h, id, n, df, comp): a pair for each set of which some block's centre is of another component: the centre met most
     often. The centre is the smallest id of a block, or, with a seed, the smallest hash."""
     order = F.col("id") if not seed else F.xxhash64(F.lit(seed), F.col("id"))
-    centres = blocks.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "comp", "n")).alias("c"), F.bool_or("long").alias("long"))
-    # a long block's sets are dealt out, and its centre goes to each part
-    parts = F.when(F.col("long"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    centres = centres.select("h", "c.id", "c.comp", "c.n", F.explode(parts)).toDF("h", "b", "comp_b", "n_b", "part")
-    part = F.when(F.col("long"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
-    met = blocks.withColumn("part", part).join(centres, ["h", "part"]).where("comp <> comp_b").where(F.least("n", "n_b") * DENOMINATOR >= F.greatest("n", "n_b") * NUMERATOR)
+    centres = blocks.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "comp", "n")).alias("c"), F.max("df").alias("df"))
+    # a block of several tiles is dealt out, and its centre goes to each part
+    parts = F.ceil(F.col("df") / TILE).cast("int")
+    centres = centres.select("h", "c.id", "c.comp", "c.n", F.explode(F.sequence(F.lit(0), parts - 1))).toDF("h", "b", "comp_b", "n_b", "part")
+    met = blocks.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(centres, ["h", "part"]).where("comp <> comp_b").where(F.least("n", "n_b") * DENOMINATOR >= F.greatest("n", "n_b") * NUMERATOR)
     met = met.groupBy("id", "b", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * 4 >= F.col("n") - _spare(F.col("n")))
     best = met.groupBy("id").agg(F.max(F.struct("m", "b")).alias("x"))
     return best.select(F.least("id", "x.b").alias("a"), F.greatest("id", "x.b").alias("b")).distinct()
 
 
 def short_pairs(blocks: DataFrame) -> DataFrame:
-    """Of the blocks (h, id, n, comp, long, n_long) that are short: pairs of different components that can link. They
+    """Of the blocks (h, id, n, comp, df, n_long) that are short: pairs of different components that can link. They
     share at most what their prefixes share, of which the ``n_long`` in long blocks aren't seen here, and the rest of one."""
-    one = blocks.where("not long").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("n_long").alias("la"))
+    one = blocks.where(F.col("df") <= LONG).select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("n_long").alias("la"))
     two = one.toDF("h", "b", "nb", "cb", "lb")
     met = one.join(two, "h").where("a < b and ca <> cb").where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("na", "nb", "la", "lb")])
@@ -238,17 +309,21 @@ def dual_search(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
     another lacks as bits that the other's bitmap lacks."""
     k = max(len(left.low), len(right.low)) - 1
     x = y = np.zeros(1, np.int64)
+    at_once = max(1, COMPARED // left.any[0][:1].nbytes)
     while True:
         i, j = left.level(k), right.level(k)
         low_x, high_x, low_y, high_y = left.low[i][x], left.high[i][x], right.low[j][y], right.high[j][y]
         fits = (high_x * DENOMINATOR >= low_y * NUMERATOR) & (high_y * DENOMINATOR >= low_x * NUMERATOR)
         x, y = x[fits], y[fits]
-        if len(x):
-            lacks_y = np.bitwise_count(left.all[i][x] & ~right.any[j][y]).sum(1, dtype=np.int64)
-            lacks_x = np.bitwise_count(right.all[j][y] & ~left.any[i][x]).sum(1, dtype=np.int64)
-            most = np.minimum(left.high[i][x] - lacks_y, right.high[j][y] - lacks_x)
-            keep = most * (NUMERATOR + DENOMINATOR) >= (left.low[i][x] + right.low[j][y]) * NUMERATOR
-            x, y = x[keep], y[keep]
+        kept = [np.zeros(0, bool)]
+        for first in range(0, len(x), at_once):
+            u, v = x[first : first + at_once], y[first : first + at_once]
+            lacks_v = np.bitwise_count(left.all[i][u] & ~right.any[j][v]).sum(1, dtype=np.int64)
+            lacks_u = np.bitwise_count(right.all[j][v] & ~left.any[i][u]).sum(1, dtype=np.int64)
+            most = np.minimum(left.high[i][u] - lacks_v, right.high[j][v] - lacks_u)
+            kept.append(most * (NUMERATOR + DENOMINATOR) >= (left.low[i][u] + right.low[j][v]) * NUMERATOR)
+        keep = np.concatenate(kept)
+        x, y = x[keep], y[keep]
         if k == 0 or not len(x):
             return x, y
         if i == k:
@@ -260,34 +335,76 @@ def dual_search(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
         k -= 1
 
 
-def long_pairs(blocks: DataFrame, base: DataFrame) -> DataFrame:
-    """Of the long blocks: pairs of different components that signature trees can't tell apart. In a block only sets
-    outside the component of its smallest id are compared, to all others: tiles of these against tiles of all."""
-    rows = blocks.where("long").select("h", "id", "n", "comp")
-    about = rows.groupBy("h").agg(F.min(F.struct("id", "comp")).alias("c"), F.count(F.lit(1)).alias("m"))
-    rows = rows.join(about.select("h", "m", F.col("c.comp").alias("main")), "h")
-    strange = rows.where("comp <> main").groupBy("h").agg(F.count(F.lit(1)).alias("o"))
-    rows = rows.join(strange, "h").join(base.select("id", "bits"), "id")
-    rows = rows.withColumns({"ko": F.ceil(F.col("o") / TILE).cast("int"), "km": F.ceil(F.col("m") / TILE).cast("int")})
+def tile_pairs(n: np.ndarray, bits: list[bytes], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x of side 0, y of side 1) of the sets of two tiles that trees can't tell apart. Sets are searched by classes
+    of size, up to twice the smallest, so that one width of bitmap suits all; those of the class below that can link with
+    larger ones are guests."""
+    kind = np.frexp(n.astype(float))[1] - 1
+    found = [(np.zeros(0, np.int64),) * 2]
+    for c in np.unique(kind).tolist():
+        guest = (kind == c - 1) & (n * DENOMINATOR >= NUMERATOR << c)
+        there = np.flatnonzero((kind == c) | guest)
+        there = there[np.argsort(n[there], kind="stable")]
+        one, two = there[side[there] == 0], there[side[there] == 1]
+        if len(one) and len(two):
+            width = 1 << max(0, c - 1)
+            trees = [Tree(n[own], np.stack([folded(bits[k], width) for k in own.tolist()])) for own in (one, two)]
+            x, y = dual_search(*trees)
+            x, y = one[x], two[y]
+            once = ~(guest[x] & guest[y])
+            found.append((x[once], y[once]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def long_pairs(blocks: DataFrame, sets: Sets) -> DataFrame:
+    """Of the long blocks: pairs of different components that signature trees can't tell apart.
+
+    Blocks with the same centre, the smallest hash of an id, make one neighbourhood, so that a group of near copies, which
+    has hundreds of shingles in common, is searched a few times and not hundreds of times. In a neighbourhood only sets
+    outside the component of its smallest id are compared, to all others: tiles of these against tiles of all. A pair is
+    given by the first neighbourhood that has both.
+    """
+    rows = blocks.where(F.col("df") > LONG).select("h", "id", "n", "comp", "df")
+    centres = written(rows.groupBy("h").agg(F.min(F.xxhash64(F.lit(7), "id")).alias("c")), "centres")
+    near = written(rows.join(small(centres), "h").groupBy("c", "id", "n", "comp").agg(F.count(F.lit(1)).alias("m")).drop("m"), "near")
+    about = written(near.groupBy("c").agg(F.min(F.struct("id", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")), "about")
+    odd = near.join(small(about), "c").where("comp <> main").groupBy("c").agg(F.count(F.lit(1)).alias("o"), F.sum("n").alias("v"))
+    tiles = lambda m, w: F.ceil(F.greatest(F.col(m) / TILE, F.col(w) / TILE_SHINGLES)).cast("int")
+    plan = written(about.join(odd, "c").select("c", "main", tiles("o", "v").alias("ko"), tiles("m", "w").alias("km")), "plan")
+    rows = written(near.join(small(plan), "c"), "compared")
+    ids = written(rows.groupBy("id").agg(F.when(F.count(F.lit(1)) <= LISTED, F.array_sort(F.collect_list("c"))).alias("cs")), "ids")
+    names = written(ids.select("id"), "names")
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s) for s in _arrays(batch.column(1))], pa.binary())], ["id", "bits"])
+
+    bits = sets.of(names).select("id", "s").mapInArrow(bits_of, "id long, bits binary")
+    rows = rows.join(ids.join(bits, "id"), "id")
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = rows.where("comp <> main").select("h", own("ko").alias("i"), every("km").alias("j"), F.lit(0).alias("side"), "id", "n", "comp", "bits")
-    right = rows.select("h", every("ko").alias("i"), own("km").alias("j"), F.lit(1).alias("side"), "id", "n", "comp", "bits")
+    every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    strange = F.col("comp") != F.col("main")
+    as_left = F.transform(every("km"), lambda j: F.struct(own("ko").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    as_right = F.transform(every("ko"), lambda i: F.struct(i.alias("i"), own("km").alias("j"), F.lit(1).alias("side")))
+    places = F.when(strange, F.concat(as_left, as_right)).otherwise(as_right)
+    rows = rows.select("c", "id", "n", "comp", strange.alias("strange"), "cs", "bits", F.explode(places).alias("p"))
+    rows = rows.select("c", "p.i", "p.j", "p.side", "id", "n", "comp", "strange", "cs", "bits")
 
     def search(group: pa.Table) -> pa.Table:
-        side, ids, n, comp = (group.column(c).to_numpy() for c in ("side", "id", "n", "comp"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        order = np.argsort(n, kind="stable")
-        one, two = order[side[order] == 0], order[side[order] == 1]
-        if not len(one) or not len(two):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        x, y = dual_search(Tree(n[one], bits[one]), Tree(n[two], bits[two]))
-        x, y = one[x], two[y]
-        apart = comp[x] != comp[y]
-        a, b = ids[x][apart], ids[y][apart]
+        c, side, ids, n, comp, odd_one = (group.column(k).to_numpy() for k in ("c", "side", "id", "n", "comp", "strange"))
+        x, y = tile_pairs(n, group.column("bits").to_pylist(), side)
+        apart = (comp[x] != comp[y]) & (~odd_one[y] | (ids[x] < ids[y]))
+        x, y = x[apart], y[apart]
+        cs = group.column("cs").to_pylist()
+        lists = {k: cs[k] and set(cs[k]) for k in {*x.tolist(), *y.tolist()}}
+        here = int(c[0]) if len(c) else 0
+        first = np.array([not lists[u] or not lists[v] or min(lists[u] & lists[v]) == here for u, v in zip(x.tolist(), y.tolist())], bool)
+        a, b = ids[x][first], ids[y][first]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    return left.union(right).groupBy("h", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    found = written(rows.groupBy("c", "i", "j").applyInArrow(search, "a long, b long").distinct(), "candidates")
+    discard(centres, near, about, plan, ids, names)
+    return found
 
 
 #: Times that stars with other centres are tried on blocks that are still open.
@@ -305,41 +422,53 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base_table(docs)
-    known = base.where("id is not null and n > 0")
+    known, once = base.where("id is not null and n > 0"), None
     if not known.groupBy("id").count().where("count > 1").isEmpty():
         known = written(known.dropDuplicates(["id"]), "sets-once")
+        once = known
         docs = docs.where("id is not null").dropDuplicates(["id"])
     copies = written(representatives(known), "copies")
     unique = known.join(small(copies.select("id")), "id", "left_anti")
     frequent = frequent_shingles(unique)
     rows = postings(docs.where("id is not null"), unique, frequent)
-    shared = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    blocks = written(rows.join(small(shared), "h").select("h", "id", "n", (F.col("df") > LONG).alias("long")), "blocks")
-    links = None
-    comps = None
+    shared_ = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    blocks = written(rows.join(small(shared_), "h").select("h", "id", "n", "df"), "blocks")
+    sizes = written(base.select("id", "n"), "sizes")
+    discard(base, once, rows, shared_)
+    sets = Sets(docs.where("id is not null"), blocks)
+    links, comps, open_ = [], None, None
     for k in range(STARS + 1):
         placed = blocks.withColumn("comp", F.col("id"))
         if comps is not None:
-            placed = blocks.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-        open_ = written(placed.join(mixed, "h", "left_semi"), f"open-{k}")
+            placed = blocks.join(small(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        mixed = written(placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h"), f"mixed-{k}")
+        old, open_ = open_, written(placed.join(small(mixed), "h", "left_semi"), f"open-{k}")
+        discard(old, mixed)
         if k == STARS:
             break
-        found = verified(docs, star_pairs(open_, k))
+        found = verified(star_pairs(open_, k), sets)
         if found.isEmpty():
+            discard(found)
             break
-        links = found if links is None else links.union(found)
-        comps = graph.components(links)
-    n_long = blocks.where("long").groupBy("id").agg(F.count(F.lit(1)).alias("n_long"))
-    short = short_pairs(open_.join(n_long, "id", "left").fillna(0, ["n_long"]))
-    found = verified(docs, short.union(long_pairs(open_, base)).distinct())
+        links.append(found)
+        discard(comps)
+        comps = written(graph.components(reduce(DataFrame.union, links)), "comps")
+    n_long = written(blocks.where(F.col("df") > LONG).groupBy("id").agg(F.count(F.lit(1)).alias("n_long")), "n-long")
+    short = short_pairs(open_.join(small(n_long), "id", "left").fillna(0, ["n_long"]))
+    long_ = long_pairs(open_, sets)
+    found = verified(short.union(long_).distinct(), sets)
+    discard(n_long, long_, open_, blocks)
+    sets.discard()
     if not found.isEmpty():
-        links = found if links is None else links.union(found)
-        comps = graph.components(links)
+        links.append(found)
+        discard(comps)
+        comps = written(graph.components(reduce(DataFrame.union, links)), "comps")
     rep = copies
     if comps is not None:
-        rep = copies.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("rep")).union(comps.join(copies.select("id"), "id", "left_anti").select("id", "component"))
-    rows = base.select("id", "n").join(rep, "id", "left")
+        rep = copies.join(small(comps.withColumnRenamed("id", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("rep")).union(comps.join(small(copies.select("id")), "id", "left_anti").select("id", "component"))
+        rep = written(rep, "rep")
+    discard(*links, found)
+    rows = sizes.join(small(rep), "id", "left")
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
 
 

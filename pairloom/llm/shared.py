@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import written
+from ..sources import storage
+from ..sources.storage import discard, written
 
-__all__ = ["BROADCAST", "LOWER", "UPPER", "WORD", "ascii_lower", "small", "table", "written"]
+__all__ = ["BROADCAST", "LOWER", "UPPER", "WORD", "ascii_lower", "discard", "small", "table", "written"]
 
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,9 +19,8 @@ BROADCAST = 2_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of a few numbers a row, for a join: broadcast if it has at most BROADCAST rows, which is
-    counted, and otherwise left to Spark, which shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+    """As storage.small, with this subpackage's bound."""
+    return storage.small(df, BROADCAST)
 
 
 def ascii_lower(text: Column) -> Column:

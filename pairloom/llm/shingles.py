@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 WORDS = 5
 U = np.uint64
 #: Bytes of text that are worked on at a time, here and in a stretch of one text.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -182,11 +182,22 @@ def test_tree_search_loses_nothing():
         sets += [base, np.unique(np.concatenate([base[: int(len(base) * 0.93)], rnd.integers(0, 2**63, 3, dtype=np.uint64)]))]
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
-    bits = np.frombuffer(b"".join(jaccard_join.bitmap(s) for s in sets), np.uint64).reshape(len(sets), -1)
+    bits = np.frombuffer(b"".join(jaccard_join.bitmap(s, 512) for s in sets), np.uint64).reshape(len(sets), -1)
     x, y = jaccard_join.dual_search(jaccard_join.Tree(n, bits), jaccard_join.Tree(n[::3], bits[::3]))
     found = set(zip(x.tolist(), (y * 3).tolist()))
     need = {(a, b) for a in range(len(sets)) for b in range(0, len(sets), 3) if 5 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (n[a] + n[b] - c)}
     assert need <= found and len(found) < len(sets) ** 2 / 6
+    # bitmaps by size, of all sets at once: only pairs that nearly link are left
+    for k in range(3):
+        sets.append(np.unique(rnd.integers(0, 2**63, 5000 + 400 * k, dtype=np.uint64)))
+        sets.append(np.unique(np.concatenate([sets[-1][:4600], rnd.integers(0, 2**63, 30, dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    side = np.concatenate([np.zeros(len(sets), int), np.ones(len(sets), int)])
+    x, y = jaccard_join.tile_pairs(np.tile(n, 2), [jaccard_join.bitmap(s) for s in sets] * 2, side)
+    found = list(zip(x.tolist(), (y - len(sets)).tolist()))
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    need = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if overlap(a, b) >= 0.8}
+    assert need <= set(found) and len(found) == len(set(found)) and len(found) < 1.5 * len(need)
 
 
 def test_shingles_match_words():
