@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match with several randomised lexicons.
 
 The lexicon is the terms whose document frequency lies in a band, neither rare nor common. It is split at random, by
-hash, into many small lexicons; a document's distinct terms in one of them, as an order-free sum of their hashes, are one
-entry of its fingerprint. Two texts share an entry when they agree on every term of that small lexicon. Long texts need
+hash, into many small lexicons; the hash of a document's sorted distinct terms in one of them is one entry of its
+fingerprint. Two texts share an entry when they agree on every term of that small lexicon. Long texts need
 smaller lexicons than short ones for that to say anything, so a fingerprint has two families of SLOTS lexicons: each
 lexicon of family c holds one in 8**c of the terms, and texts of length class c use the families c and c + 1; texts of
 neighbouring classes have a family in common.
@@ -50,14 +50,10 @@ def id_ranges(ids: DataFrame, total: int) -> tuple[Column, int]:
     cuts = sorted(set(cuts))
     parts = max(1, min(PARTS, round(total / ROWS / max(1, len(cuts) - 1))))
     ends = cuts[1:] + [cuts[-1] + 1]
-    above = [F.when(F.col("k") >= c, 1).otherwise(0) for c in cuts[1:]] or [F.lit(0)]
-    while len(above) > 1:  # pairwise, to keep the expression flat
-        above = [reduce(lambda a, b: a + b, above[i : i + 2]) for i in range(0, len(above), 2)]
-    place = above[0]
-    low = F.element_at(F.array(*[F.lit(c) for c in cuts]), place + 1)
-    width = F.element_at(F.array(*[F.lit(float(b - a)) for a, b in zip(cuts, ends)]), place + 1)
-    part = F.floor((F.col("k").cast("double") - low.cast("double")) / width * parts)
-    return (place * parts + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))).cast("int"), len(cuts) * parts
+    starts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("low"), F.lit(float(b - a)).alias("width")) for i, (a, b) in enumerate(zip(cuts, ends))])
+    cut = F.array_max(F.filter(starts, lambda c: (c["i"] == 0) | (c["low"] <= F.col("k"))))
+    part = F.floor((F.col("k").cast("double") - cut["low"].cast("double")) / cut["width"] * parts)
+    return (cut["i"] * parts + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))).cast("int"), len(cuts) * parts
 
 
 def neighbours(docs: DataFrame, total: int) -> DataFrame:
@@ -92,10 +88,16 @@ def _class(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.char_length(text) >= c, 1).otherwise(0) for c in CLASSES]) + 2
 
 
-def _entries(h: Column, family: Column) -> Column:
-    """An entry's text: family, lexicon, and 24 bits of the terms' hash."""
-    mixed = F.xxhash64(h, family)
-    return F.when(h.isNotNull(), F.concat(family.cast("string"), F.lpad(F.lower(F.hex("slot")), 2, "0"), F.lpad(F.lower(F.hex(mixed.bitwiseAND(0xFFFFFF))), 6, "0")))
+def _entries(terms: Column, family: Column) -> Column:
+    """The entries of a text's sorted distinct terms: for each lexicon that has some of them, family, lexicon, and 24 bits
+    of their hash."""
+
+    def entry(slot: Column) -> Column:
+        own = F.filter(terms, lambda h: h.bitwiseAND(SLOTS - 1) == slot)
+        mixed = F.xxhash64(own).bitwiseAND(0xFFFFFF)
+        return F.when(F.size(own) > 0, F.concat(family.cast("string"), F.lpad(F.lower(F.hex(slot)), 2, "0"), F.lpad(F.lower(F.hex(mixed)), 6, "0")))
+
+    return F.filter(F.transform(F.array_distinct(F.transform(terms, lambda h: h.bitwiseAND(SLOTS - 1))), entry), lambda e: e.isNotNull())
 
 
 def fingerprints(rows: DataFrame, band: DataFrame) -> DataFrame:
@@ -108,12 +110,11 @@ def fingerprints(rows: DataFrame, band: DataFrame) -> DataFrame:
     each = each.select("range", "rn", "kind", "c", size.alias("m"), "hs")
     used = F.filter(F.zip_with("hs", F.array_repeat(F.col("m") - 1, F.size("hs")), lambda h, m: F.when(h.bitwiseAND(m) < SLOTS, h)), lambda h: h.isNotNull())
     terms = each.select("range", "rn", "kind", "c", "m", F.explode(used).alias("h")).join(small(band), "h", "left_semi")
-    finer = F.when(F.col("h").bitwiseAND(F.col("m") * 8 - 1) < SLOTS, F.xxhash64("h"))
-    slots = terms.groupBy("range", "rn", "kind", "c", F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.bit_xor(F.xxhash64("h")).alias("coarse"), F.bit_xor(finer).alias("fine"))
-    slots = slots.select("range", "rn", "kind", _entries(F.col("coarse"), F.col("c")).alias("a"), _entries(F.col("fine"), F.col("c") + 1).alias("b"))
-    slots = slots.select("range", "rn", "kind", F.filter(F.array("a", "b"), lambda x: x.isNotNull()).alias("ab"))
-    of = lambda k: F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("ab")))))
-    return slots.groupBy("range", "rn").agg(of(0).alias("own"), of(1).alias("changed"))
+    terms = terms.groupBy("range", "rn", "kind", "c", "m").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    finer = F.filter(F.zip_with("hs", F.array_repeat(F.col("m") * 8 - 1, F.size("hs")), lambda h, m: F.when(h.bitwiseAND(m) < SLOTS, h)), lambda h: h.isNotNull())
+    entries = F.concat(_entries(F.col("hs"), F.col("c")), _entries(finer, F.col("c") + 1))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("entries")))
+    return terms.select("range", "rn", "kind", F.array_sort(entries).alias("entries")).groupBy("range", "rn").agg(of(0).alias("own"), of(1).alias("changed"))
 
 
 def likeness(a: Column, b: Column) -> Column:
