@@ -54,6 +54,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns; ids as in exact_dedup, none null."""
-    dropped = written(exact_dedup(docs, salts=salts).where("not kept").select(F.col("doc_id").alias("dropped_id")), "dropped")
-    return docs.join(small(dropped), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) that exact_dedup keeps, with all their columns.
+
+    A dropped row is found again by its id and a hash of its text, so that of rows that repeat an id only those with a dropped
+    text go; rows that repeat both the winning id and its text all stay, as do rows of a group of nothing but null ids.
+    Columns may have any names.
+    """
+    normal = ascii_lower(F.coalesce(F.col("pairloom_row.text"), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("pairloom_row"))
+    found = exact_dedup(docs, salts=salts).where("not kept").select(F.col("doc_id").alias("dropped_id"), F.substring("text_sha256", 1, 16).alias("dropped_text"))
+    dropped = written(found.distinct(), "dropped")
+    same = F.col("pairloom_row.doc_id").eqNullSafe(F.col("dropped_id")) & (F.substring(F.sha2(normal, 256), 1, 16) == F.col("dropped_text"))
+    return rows.join(small(dropped), same, "left_anti").select("pairloom_row.*")

@@ -473,6 +473,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns; ids are not null."""
-    dropped = written(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")), "dropped")
-    return docs.join(small(dropped), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) whose id is the smallest of its component, with all their columns. Rows
+    with a null id link with nothing and stay; rows that repeat an id stay or go together. Columns may have any names."""
+    dropped = written(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("pairloom_row"))
+    return rows.join(small(dropped), F.col("pairloom_row.doc_id") == F.col("dropped_id"), "left_anti").select("pairloom_row.*")

@@ -107,16 +107,23 @@ def whole_copies(cells: DataFrame, targets: DataFrame, tilts: DataFrame, rounds:
     return cells
 
 
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))  # no source's key is "null"
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies.
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, source_key.
 
     size is the number of words, 0 for a null or empty text; such documents are not taken. Documents without a source
     form one source, the last. taken is size times copies, copies being 0, 1 or 2. Of documents that are alike in source
     and size, those with the smaller hash of the id get the odd copies; repeated rows count one by one, in any order.
     A source of no words has target 0; an empty table gives an empty result. Other columns are not looked at.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("null"))  # no source's key is "null"
+    size, key = _size(F.col(text_col)), _source_key(F.col(source_col))
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), size.alias("size"))
     sizes = written(sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "source_key"), F.lit(SALTS))), "sizes")
     dealt = sizes.groupBy("source_key", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -131,12 +138,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     odd = F.when(rank <= F.pmod(F.col("copies"), F.col("n")), F.lit(1)).otherwise(F.lit(0))
     rows = sizes.drop("source").withColumn("rank", F.row_number().over(own)).join(plan, ["source_key", "size", "salt"])
     rows = rows.withColumn("own", (F.floor(F.col("copies") / F.col("n")) + odd).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"), "source_key")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and any others) as often as the mix takes them; ids name rows."""
-    copies = written(mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies"), "taken")
-    rows = docs.join(small(copies), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return rows.select(*docs.columns, times.alias("pairloom_copy")).drop("pairloom_copy")
+    """The rows of ``docs`` (doc_id, text, source and any others) as often as the mix takes them, 0, 1 or 2 times.
+
+    Rows find their copies by id. Where an id is null or comes again, its rows, and they alone, are told apart by source, size
+    and a number among those that are alike in all three, which take the copies of their like in turn: as many rows come out as
+    the mix takes, whatever the ids. Columns may have any names.
+    """
+    plan = written(mix_sources(docs).select(F.col("doc_id").alias("taken_id"), "size", "source_key", "copies"), "taken")
+    again = written(plan.groupBy("taken_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1 or taken_id is null").select(F.col("taken_id").alias("again_id")), "again")
+    is_again = F.col("pairloom_row.doc_id").eqNullSafe(F.col("again_id"))
+    once = docs.select(F.struct(*docs.columns).alias("pairloom_row"))
+    copies = written(plan.where("copies > 0").join(small(again), F.col("taken_id").eqNullSafe(F.col("again_id")), "left_anti").select("taken_id", "copies"), "copies")
+    rows = once.join(small(copies), F.col("pairloom_row.doc_id") == F.col("taken_id")).select("pairloom_row", "copies")
+    if not again.isEmpty():
+        alike = ["id", "source_key", "size"]
+        repeated = once.join(small(again), is_again, "left_semi").select("pairloom_row", F.col("pairloom_row.doc_id").alias("id"), _source_key(F.col("pairloom_row.source")).alias("source_key"), _size(F.col("pairloom_row.text")).alias("size"))
+        number = F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("pairloom_row")))
+        wanted = plan.join(small(again), F.col("taken_id").eqNullSafe(F.col("again_id")), "left_semi").withColumnRenamed("taken_id", "id")
+        wanted = wanted.withColumn("number", F.row_number().over(Window.partitionBy(*alike).orderBy(F.desc("copies")))).where("copies > 0")
+        on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*alike, "number"]]
+        rows = rows.union(repeated.withColumn("number", number).alias("l").join(wanted.alias("r"), on).select("pairloom_row", "copies"))
+    return rows.select("pairloom_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pairloom_copy")).select("pairloom_row.*")
