@@ -124,3 +124,18 @@ def latex_escape(text: Column) -> Column:
     text = F.regexp_replace(text, r"([&%$#_{}])", r"\\$1")
     text = F.regexp_replace(F.regexp_replace(text, "~", r"\\textasciitilde{}"), r"\^", r"\\textasciicircum{}")
     return F.regexp_replace(text, "\x01", r"\\textbackslash{}")
+
+
+def signed_delta(value: Column, digits: int = 2) -> Column:
+    """A difference with its sign, plus for zero, and fixed digits."""
+    return F.format_string(f"%+.{digits}f", value.cast("double"))
+
+
+def utc_iso(at: Column) -> Column:
+    """A time to the second in ISO form, in UTC."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def ruled_label(name: Column, rules: Iterable[tuple[str, str]], other: str) -> Column:
+    """The label of the first rule (pattern, label) that a name meets."""
+    return F.coalesce(*[F.when(F.regexp_like(name, F.lit(pattern)), F.lit(label)) for pattern, label in rules], F.lit(other))

@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similarity
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -215,3 +217,27 @@ def retrieval_summary(candidates: DataFrame) -> DataFrame:
         F.sum("n").alias("pairs"), F.sum("t").alias("threshold_pairs"), F.sum("w").alias("window_pairs"), F.sum("both").alias("both_pairs"), (F.sum("n") - F.sum("w")).alias("threshold_only"), (F.sum("n") - F.sum("t")).alias("window_only"),
         F.count(F.lit(1)).alias("queries"), F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most"),
     )
+
+
+def profile_diagnostics(queries: DataFrame, candidates: DataFrame, profiles: list[str], ks: list[int], thresholds: list[float]) -> DataFrame:
+    """Metrics of slices of the candidates (id, class, vector, profile), each ranked by itself, at every k and at thresholds that
+    were chosen elsewhere: profile, mode, point, candidate_pairs, true_positives, pair_completeness, pair_quality,
+    reduction_ratio. Slices without a true pair have no rows."""
+    out = None
+    for profile in profiles:
+        own = candidates.where(F.col("profile") == profile).select("id", "class", "vector")
+        counts = class_counts(queries, own)
+        best = similarity.ranked(similarity.similarity_pairs(queries, own, top=max(ks)), max(ks))
+        kept = ["candidate_pairs", "true_positives", "pair_completeness", "pair_quality", "reduction_ratio"]
+        fixed = top_k_metrics(best, counts, ks).select(F.lit("top_k").alias("mode"), F.col("k").cast("double").alias("point"), *kept)
+        frozen = threshold_metrics(similarity.score_counts(queries, own, thresholds), counts, thresholds).select(F.lit("calibrated_threshold").alias("mode"), F.col("threshold").alias("point"), *kept)
+        rows = fixed.unionByName(frozen).select(F.lit(profile).alias("profile"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def profile_macro(rows: DataFrame, profiles: int) -> DataFrame:
+    """The mean over profiles of profile_diagnostics() for each operating point; a profile that lacks is an error."""
+    each = rows.groupBy("mode", "point").agg(F.count(F.lit(1)).alias("profiles"), *[F.round(F.avg(c), 6).alias(c) for c in ("pair_completeness", "pair_quality", "reduction_ratio")])
+    whole = F.when(F.col("profiles") == profiles, F.col("profiles")).otherwise(F.raise_error(F.lit("a profile without a result")).cast("long"))
+    return each.withColumn("profiles", whole)

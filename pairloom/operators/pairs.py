@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 #: Reasons for a candidate, in the order in which they are listed.
 REASONS = ("exact_sha256", "threshold", "window")
 
@@ -87,7 +89,7 @@ def export_classes(members: DataFrame) -> DataFrame:
     """Keepers of clusters with contiguous class numbers by sorted component: (id, component, is_keeper) to class_id, id,
     n_excluded, excluded (sorted ids, by semicolons)."""
     per = members.groupBy("component").agg(F.max(F.when(F.col("is_keeper"), F.col("id"))).alias("id"), F.array_sort(F.collect_list(F.when(~F.col("is_keeper"), F.col("id")))).alias("out"))
-    return per.select((F.row_number().over(Window.orderBy("component")) - 1).cast("long").alias("class_id"), "id", F.size("out").cast("long").alias("n_excluded"), F.array_join(F.transform("out", lambda x: x.cast("string")), ";").alias("excluded"))
+    return numbered(per, [F.col("component")], "class_id").select("class_id", "id", F.size("out").cast("long").alias("n_excluded"), F.array_join(F.transform("out", lambda x: x.cast("string")), ";").alias("excluded"))
 
 
 def best_source(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def best_by(rows: DataFrame, group: list[str], order: list[Column], where: Column | None = None) -> DataFrame:
     """The first row of each group in ``order`` among those for which ``where`` holds."""
@@ -51,7 +53,7 @@ def unambiguous(rows: DataFrame, key: str, role: str) -> DataFrame:
 def dense_labels(rows: DataFrame, key: str) -> DataFrame:
     """Keys numbered from 0 in order, as strings order."""
     keys = rows.select(F.col(key).cast("string").alias(key)).distinct()
-    return keys.select(key, (F.dense_rank().over(Window.orderBy(key)) - 1).cast("long").alias("label"))
+    return numbered(keys, [F.col(key)], "label").select(key, "label")
 
 
 def interpolated(curve: DataFrame, group: list[str], x: str, y: str, grid: list[float]) -> DataFrame:

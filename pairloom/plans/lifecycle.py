@@ -64,10 +64,19 @@ def complete_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.complete_protocols(rows, "model", "n", [1, 2, 3, 4, 5, 6, 7]).groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("""SELECT CASE WHEN x < 0.25 THEN 'easy' WHEN x < 0.6 THEN 'medium' WHEN x < 0.85 THEN 'hard' ELSE 'extreme' END AS bucket, count(*) AS n, round(avg(x), 6) AS mean FROM (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) / 100 AS x FROM events) t GROUP BY 1""")
+@query("""WITH k AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+s AS (SELECT round(least(1.0, greatest(0, k / 100) * 0.40 + greatest(0, least(1, (192 - (32 + 3 * k)) / 160)) * 0.45 + CASE WHEN k % 2 = 0 THEN 0.10 ELSE 0 END + least(0.10, k / 500) + CASE WHEN k % 3 = 0 THEN 0.05 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 0.05 ELSE 0 END + CASE WHEN 100 - k <= 72 THEN 0.08 ELSE 0 END), 6) AS x FROM k)
+SELECT CASE WHEN x >= 0.72 THEN 'extreme' WHEN x >= 0.50 THEN 'hard' WHEN x >= 0.25 THEN 'medium' ELSE 'mild' END AS bucket, count(*) AS n, round(avg(x), 6) AS mean FROM s GROUP BY 1""")
 def severity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strength read from JSON, in buckets."""
-    x, bucket = protocol.severity(F.get_json_object("props", "$.k").cast("double") / 100)
+    """The strength of transforms read from JSON, weighted and in buckets. Each event's number makes one document
+    of transforms."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    done = lambda n: F.when(k % n == 0, F.struct(F.lit(True).alias("applied")))
+    transforms = F.to_json(F.struct(
+        F.struct((1 - k / 100).alias("retained_area_fraction")).alias("crop"), F.struct((32 + 3 * k).alias("longest_side_pixels")).alias("resolution_loss"), done(2).alias("perspective"),
+        F.struct((k / 500).alias("coverage")).alias("occlusion"), done(3).alias("annotations"), done(5).alias("paper_document"), F.struct((100 - k).alias("quality")).alias("jpeg"),
+    ))
+    x, bucket = protocol.severity(transforms)
     return table(spark, sf_dir, "events").select(x.alias("x"), bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"))
 
 

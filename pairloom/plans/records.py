@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import blocking, graph, pairs, splits
+from ..operators import blocking, graph, ordering, pairs, splits
 from .registry import query, table
 
 #: The same normalisation in DuckDB, for ASCII texts.
@@ -113,9 +113,7 @@ def part_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cover_counts(parts: DataFrame) -> DataFrame:
     p = parts.select("p_brand", "p_type").distinct()
     nodes = p.select(F.col("p_brand").alias("name")).union(p.select("p_type")).distinct()
-    from pyspark.sql import Window
-
-    numbered = nodes.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("id"))
+    numbered = ordering.numbered(nodes, [F.col("name")], "id")
     links = p.join(numbered.toDF("p_brand", "a"), "p_brand").join(numbered.toDF("p_type", "b"), "p_type").select("a", "b")
     cover = graph.vertex_cover(links)
     covered = cover.select("id")

@@ -193,3 +193,41 @@ def rule_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """For each rule the number of rows that break it, nulls counted as breaks."""
     counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
     return counts.unpivot([], list(rules), "rule", "violations")
+
+
+def ingest(spark: SparkSession, source: str, path: str, extensions: list[str], decodes: Callable[[bytes], bool], known: DataFrame) -> DataFrame:
+    """Files below a folder by extension: path (source/name), size, sha256, state. A file that ``decodes`` turns down, or on
+    which it fails, is invalid; a valid one whose stem isn't in ``known`` (stem) is an orphan. Contents stay in their tasks."""
+    wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(wanted)
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fine(content: bytes) -> bool:
+            try:
+                return bool(decodes(bytes(content)))
+            except Exception:
+                return False
+
+        for batch in batches:
+            yield batch.assign(valid=[fine(c) for c in batch["content"]]).drop(columns="content")
+
+    rows = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content").mapInPandas(check, "path string, size long, sha256 string, valid boolean")
+    rows = rows.withColumn("stem", F.regexp_extract("path", r"([^/]*)\.[^./]+$", 1)).join(known.select("stem", F.lit(True).alias("is_known")).distinct(), "stem", "left")
+    state = F.when(~F.col("valid"), "invalid").when(F.col("is_known"), "valid").otherwise("orphan")
+    return rows.select(state.alias("state"), F.concat(F.lit(f"{source}/"), F.regexp_extract("path", "[^/]+$", 0)).alias("path"), "size", "sha256")
+
+
+def resource_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Resource documents RUN/resource_metrics/NAME.json and RUN/models/MODEL/resource_metrics.json as one row a run and model:
+    run, model, by_folder, num_images, images_per_second, dimensions. Those of reused caches are left out; of two for a run and
+    model that of the resource_metrics folder stays."""
+    embedding = "embedding struct<num_images: long, wall_time_seconds: double, cache_reused_for_run: boolean, embedding_dimensionality: long>"
+    schema = f"model_id string, {embedding}, summary struct<embedding_dimensionality: long>, model struct<embedding_dim: long>"
+    docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    place = F.regexp_extract(F.input_file_name(), r"([^/]+)/(resource_metrics/[^/]+|models/[^/]+/resource_metrics)\.json$", 1)
+    docs = docs.select(place.alias("run"), F.col("model_id").alias("model"), F.input_file_name().rlike(r"/resource_metrics/[^/]+\.json$").alias("by_folder"), "embedding", "summary", F.col("model").alias("about")).where("run <> ''")
+    docs = docs.where(~F.coalesce("embedding.cache_reused_for_run", F.lit(False)))
+    n, seconds = F.col("embedding.num_images"), F.col("embedding.wall_time_seconds")
+    rows = docs.select("run", "model", "by_folder", n.alias("num_images"), F.round(F.when(seconds > 0, n / seconds), 6).alias("images_per_second"), F.coalesce("summary.embedding_dimensionality", "embedding.embedding_dimensionality", "about.embedding_dim").alias("dimensions"))
+    first = F.row_number().over(Window.partitionBy("run", "model").orderBy(F.desc("by_folder")))
+    return rows.withColumn("_n", first).where("_n = 1").drop("_n")
