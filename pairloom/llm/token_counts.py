@@ -20,8 +20,8 @@ from . import tokens
 def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str = tokens.BYTE_LEVEL, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
-    ``pattern`` is the pre-tokenizer's, for plain texts; others go through the library whole. The strings of special
-    tokens count as the library's default has it: one token. A null text counts as empty: no bytes, no tokens. Rows
+    ``pattern`` is the pre-tokenizer's, for texts in Latin letters; others are split by the library's pre-tokenizer. The
+    strings of special tokens count as the library's default has it: one token. A null text counts as empty: no bytes, no tokens. Rows
     stand for themselves, so null ids, repeated rows and extra columns change nothing.
     """
 

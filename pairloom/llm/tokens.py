@@ -1,9 +1,10 @@
-"""Tokenizing by distinct pre-token: a tokenizer's library sees each pre-token once a task, texts are sums of those.
+"""Tokenizing by distinct pre-token: a tokenizer's model sees each pre-token once a task, texts are sums of those.
 
 Both tokenizers split a text into pre-tokens by a pattern and then work on each pre-token alone, so what they give for a
-text is the sequence of what they give for its pre-tokens. The pattern is applied here to texts of the first Unicode
-blocks only (Latin letters, whose classes, case and normal form are settled and alike in all libraries). A text with any
-other character, or with the string of a special token, goes through the library as a whole.
+text is the sequence of what they give for its pre-tokens. In texts of common scripts (whose characters' classes, case and normal form
+are settled and alike in all libraries) the pattern is applied here; all other texts are normalised and split by the
+library's own pre-tokenizer, whatever their script, which takes about three times as long. The strings of special tokens part a text and stand for
+themselves.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-#: Letters, digits and white space among the characters of PLAIN texts.
-LETTER, DIGIT, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t\n\r "
+#: Letters, digits and white space among the characters of PLAIN texts: Latin, Cyrillic, kana, Han, Hangul.
+LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ʯⱥⱦЀ-ҁҊ-ԯ\u3041-\u3096\u30a1-\u30fa\u30fc-\u30fe\u4e00-\u9fa5\uac00-\ud7a3"
+DIGIT, SPACE = "0-9²³¹¼-¾", "\t\n\r "
+#: Signs among them: general, East Asian and wide punctuation, currency, pictures.
+SIGN = "\u2010-\u2027\u2030-\u203e\u20ac\u2122\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20\U0001f300-\U0001f64f"
 #: The pre-tokenizers' patterns of the two public vocabularies, for PLAIN texts.
 BYTE_LEVEL = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 WORD_LEVEL = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+"
 #: Characters for which these patterns and Python's lower() are known to agree with the libraries.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+PLAIN = re.compile(f"[\t\n\r\x20-\x7e\xa1-įı-ʯ{LETTER}{SIGN}]*")
 #: Distinct pre-tokens in each of the two generations that a task remembers.
 REMEMBERED = 400_000
 #: What byte-level tokenizers write for a byte: printable Latin-1 characters stand for themselves, others for 256 and on.
@@ -56,20 +60,22 @@ class Pieces(dict):
 
 
 class Texts:
-    """A tokenizer whose model sees each pre-token by itself."""
+    """A tokenizer whose model sees each pre-token by itself. ``make`` says what is kept of a pre-token's tokens."""
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer = library(path)
-        self.model = self.tokenizer.model
+        self.model, self.normalizer, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.split = re.compile(pattern).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(self.piece)
+        self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
+        self.pieces = Pieces(lambda piece: self.make(self.model.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))))
+        self.shown = Pieces(lambda piece: self.make(self.model.tokenize(piece)))
 
-    def plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
-
-    def tokens(self, piece: str) -> list:
-        return self.model.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))
+    def shown_pieces(self, text: str) -> list[str]:
+        """The pre-tokens of any text as the library splits it, in the alphabet of its model."""
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        return [piece for piece, _ in self.pre_tokenizer.pre_tokenize_str(text)]
 
 
 class Counts(Texts):
@@ -78,14 +84,19 @@ class Counts(Texts):
     def __init__(self, path: str, pattern: str = BYTE_LEVEL):
         super().__init__(path, pattern)
 
-    def piece(self, piece: str) -> int:
-        return len(self.tokens(piece))
+    make = staticmethod(len)
+
+    def count(self, text: str) -> int:
+        if PLAIN.fullmatch(text):
+            known, pieces = self.pieces, self.split(text)
+        else:
+            known, pieces = self.shown, self.shown_pieces(text)
+        return sum([n * known[piece] for piece, n in Counter(pieces).items()])
 
     def __call__(self, text: str) -> int:
-        if not self.plain(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False))
-        pieces = self.pieces
-        return sum([n * pieces[piece] for piece, n in Counter(self.split(text)).items()])
+        if not any(s in text for s in self.special):
+            return self.count(text)
+        return sum([1 if part in self.special else self.count(part) for part in self.parts(text)])
 
 
 class Ids(Texts):
@@ -97,11 +108,18 @@ class Ids(Texts):
             raise ValueError("ids are kept in 16 bits")
         self.lower = lower
 
-    def piece(self, piece: str) -> bytes:
-        return b"".join([t.id.to_bytes(2, "little") for t in self.tokens(piece)])
+    @staticmethod
+    def make(found: list) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in found])
+
+    def ids(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text):
+            known, pieces = self.pieces, self.split(text.lower() if self.lower else text)
+        else:
+            known, pieces = self.shown, self.shown_pieces(text)
+        return b"".join([known[piece] for piece in pieces])
 
     def __call__(self, text: str) -> bytes:
-        if not self.plain(text):
-            return b"".join([i.to_bytes(2, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
-        pieces = self.pieces
-        return b"".join([pieces[piece] for piece in self.split(text.lower() if self.lower else text)])
+        if not any(s in text for s in self.special):
+            return self.ids(text)
+        return b"".join([self.special[part].to_bytes(2, "little") if part in self.special else self.ids(part) for part in self.parts(text)])

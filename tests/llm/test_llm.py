@@ -254,6 +254,21 @@ def test_tokens_of_odd_texts(monkeypatch):
             assert own(t) == (len(e.ids) if size is None else b"".join(i.to_bytes(2, "little") for i in e.ids)), t
 
 
+def test_tokens_of_every_plain_character():
+    """Each character whose class the patterns claim to know, alone and among others, against the library."""
+    from tokenizers import Tokenizer
+
+    known = [chr(c) for c in range(9, 0x1F650) if not 0xD800 <= c < 0xE000 and tokens.PLAIN.fullmatch(chr(c))]
+    rnd = random.Random(3)
+    ts = [t for c in known[: 0x1200] + rnd.sample(known, 2000) for t in (f"a{c}b {c}", f"{c}{c} 1{c}2", f"{c.upper()}A{c}'s") if tokens.PLAIN.fullmatch(t)]
+    ts += ["".join(rnd.choice(known) if rnd.random() < 0.5 else rnd.choice("ab XYZ 's 't\n 12") for _ in range(30)) for _ in range(3000)]
+    for name, make in (("byte_bpe_50k.json", tokens.Counts), ("word_bpe_49k.json", tokens.Ids)):
+        path = queries.vocabulary(name)
+        own = make(path)
+        for t, e in zip(ts, Tokenizer.from_file(path).encode_batch(ts, add_special_tokens=False)):
+            assert own(t) == (len(e.ids) if make is tokens.Counts else b"".join(i.to_bytes(2, "little") for i in e.ids)), t
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
