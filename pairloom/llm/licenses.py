@@ -1,12 +1,14 @@
 """License scans by sentence rules: sentences are mapped to identifiers, identifier sequences to licences.
 
 A text is normalised, with marks where sentences can end; known licence sentences are looked up from mark to mark, so that
-wrapped and commented lines don't part them. What remains of a text is the sequence of the identifiers found, in order; a rule matches where its own sequence stands in that, unbroken by other
-known sentences. A matched rule gives way to a matched rule whose sequence contains its own. One pass, no shuffle.
+wrapped and commented lines don't part them. What remains of a text is the sequence of the identifiers found, in order; a
+rule matches where its own sequence stands in that, unbroken by other known sentences. A matched rule gives way to a matched
+rule whose sequence contains its own. One pass, no shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -51,29 +53,84 @@ SENTENCES: dict[str, str] = {
     "this work is dedicated to the public domain": "public-domain",
     "this is free and unencumbered software released into the public domain": "unlicense-ref",
     "all rights reserved": "reserved",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-as-is",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "this library is free software": "lgpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-only",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "mozilla public license version 2 0": "mpl2-title",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-ref",
+    "eclipse public license v 2 0": "epl2-title",
+    "this work is licensed under the creative commons cc0 1 0 universal license": "cc0-ref",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "creative commons legal code cc0 1 0 universal": "cc0-title",
+    "boost software license version 1 0": "bsl-title",
+    "licensed under the boost software license version 1 0": "bsl-ref",
 }
+#: SPDX identifiers, each known as a line "SPDX-License-Identifier: ID".
+SPDX = ("MIT", "ISC", "BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense")
+SENTENCES |= {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', name.lower())}": f"spdx:{name}" for name in SPDX}
 #: Every known sentence has one of these in it, however its words are parted, so that other texts need no
 #: normalising.
-CUES = "licen[sc]e|permission|copyright|rights[^A-Za-z0-9]+reserved|warrant|redistribut|public[^A-Za-z0-9]+domain|free[^A-Za-z0-9]+software|you[^A-Za-z0-9]+may"
+CUES = "licen[sc]e|liable|permission|copyright|rights[^A-Za-z0-9]+reserved|warrant|redistribut|public[^A-Za-z0-9]+domain|free[^A-Za-z0-9]+software|you[^A-Za-z0-9]+may|can[^A-Za-z0-9]+obtain|legal[^A-Za-z0-9]+code"
 #: Licences with the sequences that stand for them, in the order in which they are reported.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is", "mit-liability")),
+    ("MIT", ("mit-grant", "mit-notice", "as-is", "mit-liability")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-ref",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-1-Clause", ("bsd-grant", "bsd-source")),
     ("Apache-2.0", ("apache2-ref", "apache2-comply", "apache2-copy")),
+    ("Apache-2.0", ("apache2-ref", "apache2-comply", "apache2-copy", "apache2-as-is", "apache2-see")),
     ("Apache-2.0", ("apache2-ref",)),
+    ("Apache-2.0", ("apache2-title",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-later")),
+    ("GPL-3.0-only", ("gpl-free", "gpl3-only")),
     ("GPL-3.0-only", ("gpl3-ref",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only")),
     ("GPL-2.0-only", ("gpl2-ref",)),
+    ("GPL-2.0-only", ("gpl2-title",)),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-later")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-later")),
     ("LGPL-3.0-only", ("lgpl3-ref",)),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-later")),
+    ("AGPL-3.0-only", ("agpl3-title",)),
+    ("MPL-2.0", ("mpl2-ref", "mpl2-copy")),
     ("MPL-2.0", ("mpl2-ref",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("EPL-2.0", ("epl2-ref",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("BSL-1.0", ("bsl-ref",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("CC0-1.0", ("cc0-ref",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("CC0-1.0", ("cc0-title",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
@@ -81,12 +138,21 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("LicenseRef-public-domain", ("public-domain",)),
     ("Unlicense", ("unlicense-ref",)),
     ("LicenseRef-proprietary", ("reserved",)),
+    *((name, (f"spdx:{name}",)) for name in SPDX),
 )
-#: Where a sentence can end: after its punctuation, at a blank line, at a line's end unless the next line starts in lower
-#: case. A known sentence runs on over a RUNS_ON (line ends, with what comments put before a line, and semicolons) but not
-#: over a STOPS.
+#: Where a sentence can end: after its punctuation (but not in "v. 2"), at the end of a comment or of an SPDX line, at a blank line, at a line's end
+#: unless the next line starts in lower case. A known sentence runs on over a RUNS_ON (line ends, with what comments put before
+#: a line, and semicolons) but not over a STOPS.
 STOPS, RUNS_ON = "\x01", "\x02"
-ENDS = ((r"([.!?])[ \t\n\f\r]+", f"$1{STOPS}"), (r"([;:])[ \t\n\f\r]+", f"$1{RUNS_ON}"), (r"\n[ \t]*([^a-z \t\n])", f"{RUNS_ON}$1"), (r"\n[ \t]*\n", RUNS_ON))
+ENDS = (
+    (r"(?i)\bv\.[ \t]+([0-9])", "v $1"),
+    (r"(?i)(SPDX-License-Identifier:[^\n]*)\n", f"$1{STOPS}"),
+    (r"\*/|-->", STOPS),
+    (r"([.!?])[ \t\n\f\r]+", f"$1{STOPS}"),
+    (r"([;:])[ \t\n\f\r]+", f"$1{RUNS_ON}"),
+    (r"\n[ \t]*([^a-z \t\n])", f"{RUNS_ON}$1"),
+    (r"\n[ \t]*\n", RUNS_ON),
+)
 
 
 def marked(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import RULES, SENTENCES, rule_text
+from .licenses import ENDS, RULES, RUNS_ON, SENTENCES, STOPS, rule_text
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -15,24 +15,27 @@ FROM t JOIN g USING (norm)
 
 
 def _op1() -> str:
+    """Known sentences by another way than the operator's one pattern: runs of segments between marks, joined and looked up."""
     known = ", ".join(f"('{text}', '{name}')" for text, name in SENTENCES.items())
     won = []
     for k, (name, sequence) in enumerate(RULES):
         own = rule_text(sequence)
         wider = [rule_text(other) for _, other in RULES if other != sequence and own in rule_text(other)]
         won.append(f"({k}, '{name}', '{own}', {[*wider, 'none']!r})")
+    text = f"translate(coalesce(text, ''), '{RUNS_ON}', ' ')"
+    for pattern, put in ENDS:
+        text = f"regexp_replace({text}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
     return rf"""
 WITH known(norm, sid) AS (VALUES {known}),
 rules(k, name, own, wider) AS (VALUES {", ".join(won)}),
-marked AS (
-  SELECT row_number() OVER () AS rid, doc_id,
-    regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\n\f\r]+', '\1' || chr(1), 'g'), '\n[ \t]*([^a-z \t\n])', chr(1) || '\1', 'g') AS t
-  FROM documents),
-parts AS (SELECT rid, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS pos FROM marked),
-hits AS (
-  SELECT p.rid, p.pos, k.sid
-  FROM parts p JOIN known k ON k.norm = trim(regexp_replace(translate(p.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))),
-seqs AS (SELECT rid, '|' || string_agg(sid, '|' ORDER BY pos) || '|' AS ids, count(*) AS n FROM hits GROUP BY rid),
+marked AS (SELECT row_number() OVER () AS rid, doc_id, '{STOPS}' || translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+parts AS (SELECT rid, unnest(regexp_extract_all(t, '([{STOPS}{RUNS_ON}])([^{STOPS}{RUNS_ON}]*)', 1)) AS mark, unnest(regexp_extract_all(t, '([{STOPS}{RUNS_ON}])([^{STOPS}{RUNS_ON}]*)', 2)) AS seg, generate_subscripts(regexp_extract_all(t, '[{STOPS}{RUNS_ON}]'), 1) AS pos FROM marked),
+runs AS (SELECT rid, pos, trim(regexp_replace(seg, '[^a-z0-9]+', ' ', 'g')) AS seg, sum(CASE WHEN mark = '{STOPS}' THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM parts),
+segs AS (SELECT rid, list(seg ORDER BY pos) AS segs, list(pos ORDER BY pos) AS places FROM runs WHERE seg <> '' GROUP BY rid, run),
+joined AS (SELECT rid, places[i] AS a, places[i + l] AS b, array_to_string(segs[i:i + l], ' ') AS norm FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM segs), (SELECT unnest(range(0, 40)) AS l) WHERE i + l <= len(segs)),
+best AS (SELECT rid, a, max(b) AS b, arg_max(sid, b) AS sid FROM joined JOIN known USING (norm) GROUP BY rid, a),
+picked AS (SELECT rid, list_reduce(list([{{'a': a, 'b': b, 'sid': sid}}] ORDER BY a), lambda acc, x: CASE WHEN x[1].a > acc[-1].b THEN list_concat(acc, x) ELSE acc END) AS hits FROM best GROUP BY rid),
+seqs AS (SELECT rid, '|' || array_to_string(list_transform(hits, lambda h: h.sid), '|') || '|' AS ids, len(hits) AS n FROM picked),
 named AS (
   SELECT s.rid, r.name, min(r.k) AS k
   FROM seqs s JOIN rules r ON contains(s.ids, r.own) AND NOT list_bool_or(list_transform(r.wider, lambda w: contains(s.ids, w)))
