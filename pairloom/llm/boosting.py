@@ -110,6 +110,14 @@ class Isotonic:
     def __call__(self, margin: np.ndarray) -> np.ndarray:
         return np.interp(margin, self.at, self.value)
 
+    def column(self, margin: Column) -> Column:
+        """The same as a Spark expression."""
+        out = F.lit(float(self.value[-1]))
+        for k in range(len(self.at) - 1, 0, -1):
+            (a, b), (u, v) = self.at[k - 1 : k + 1].tolist(), self.value[k - 1 : k + 1].tolist()
+            out = F.when(margin < b, u + (margin - a) * ((v - u) / (b - a) if b > a else 0.0)).otherwise(out)
+        return F.when(margin <= float(self.at[0]), float(self.value[0])).otherwise(out)
+
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> Isotonic:
     """Pool adjacent violators, each block counting half a row of either class more so that no value is 0 or 1."""
