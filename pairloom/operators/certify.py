@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def class_losses(view: DataFrame, budgets: list[int]) -> DataFrame:
     """For each budget k and class, one minus the share of its true pairs within rank k."""
@@ -29,21 +29,21 @@ def conformal_points(losses: DataFrame, alphas: list[float]) -> DataFrame:
     return out.select("alpha", F.col("s.k").alias("k"), F.round("s.bound", 6).alias("bound"), F.ceil(F.round(1 / F.col("alpha"), 9) - 1).cast("long").alias("classes_needed"))
 
 
-def bootstrap_draws(classes: list, resamples: int, seed: int) -> list[tuple[int, int, int]]:
-    """How often each resample draws each class: shared by all that are compared. Needs one row per class at most."""
-    rnd, out = random.Random(seed), []
-    for r in range(resamples):
-        drawn: dict = {}
-        for c in rnd.choices(classes, k=len(classes)):
-            drawn[c] = drawn.get(c, 0) + 1
-        out += [(r, c, n) for c, n in drawn.items()]
-    return out
+def bootstrap_draws(classes: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """How often each resample draws each class (class): resample, class, times; shared by all that are compared. A draw is a
+    hash of the seed, the resample and the draw's number, modulo the number of classes, so any engine draws the same."""
+    order = numbered(classes.select("class").distinct(), [F.col("class")], "place")
+    n = order.count()
+    draws = classes.sparkSession.range(resamples).select(F.col("id").cast("int").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1))).alias("k"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
+    times = draws.groupBy("resample", (number % max(1, n)).alias("place")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return times.join(F.broadcast(order), "place").select("resample", "class", "times")  # a row a class
 
 
 def bootstrap_interval(values: DataFrame, draws: DataFrame, level: float = 0.95) -> DataFrame:
     """Of (key, class, value) and shared draws (resample, class, times): for each key the mean over classes, the interval
     of resampled means, and the share of resamples above zero."""
-    means = values.join(F.broadcast(draws), "class").groupBy("key", "resample").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("m"))
+    means = values.join(draws, "class").groupBy("key", "resample").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("m"))
     low, high = (1 - level) / 2, 1 - (1 - level) / 2
     spread = means.groupBy("key").agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("positive"))
     centre = values.groupBy("key").agg(F.avg("value").alias("mean"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,16 @@ def conflicts(rejected: DataFrame, members: DataFrame) -> DataFrame:
     return rejected.join(one, "a").join(two, "b").where("component = other").select("a", "b", "component", "component_size")
 
 
-def _cover(edges: list[tuple]) -> set:
+def _cover_within(edges: list[tuple], seconds: float) -> tuple[set, bool]:
     """A smallest vertex cover: forced moves (a neighbour of a leaf), then a branch on the node of highest degree, bounded
-    by a matching."""
+    by a matching. After ``seconds`` the best so far, and whether it is proven to be smallest."""
     best: list[set] = [set(x for e in edges for x in e)]
+    end, proven = time.monotonic() + seconds, [True]
 
     def go(adj: dict, chosen: set) -> None:
+        if time.monotonic() > end:
+            proven[0] = False
+            return
         adj, chosen = {u: set(v) for u, v in adj.items() if v}, set(chosen)
 
         def take(u) -> None:
@@ -106,12 +112,17 @@ def _cover(edges: list[tuple]) -> set:
         graph.setdefault(a, set()).add(b)
         graph.setdefault(b, set()).add(a)
     go(graph, set())
-    return best[0]
+    return best[0], proven[0]
+
+
+def _cover(edges: list[tuple]) -> set:
+    return _cover_within(edges, float("inf"))[0]
 
 
-def vertex_cover(links: DataFrame) -> DataFrame:
-    """A minimum vertex cover of each component, exact: component, id, component_nodes, cover_size. The nodes left out of
-    it have no link among them. Components are solved one by one; a component's links must fit a task."""
+def vertex_cover(links: DataFrame, seconds: float = 900) -> DataFrame:
+    """A minimum vertex cover of each component: component, id, component_nodes, cover_size, proven. The nodes left out of
+    it have no link among them. Components are solved one by one; a component's links must fit a task, and one that takes more
+    than ``seconds`` gives the best cover found, which isn't proven to be a minimum."""
     import pandas as pd
 
     ship_package(links.sparkSession)
@@ -119,11 +130,12 @@ def vertex_cover(links: DataFrame) -> DataFrame:
     rows = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(comps.withColumnRenamed("id", "a"), "a")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cover = sorted(_cover(list(zip(pdf["a"].tolist(), pdf["b"].tolist()))))
+        cover, proven = _cover_within(list(zip(pdf["a"].tolist(), pdf["b"].tolist())), seconds)
+        cover = sorted(cover)
         nodes = len(set(pdf["a"]) | set(pdf["b"]))
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "id": cover, "component_nodes": nodes, "cover_size": len(cover)})
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "id": cover, "component_nodes": nodes, "cover_size": len(cover), "proven": proven})
 
-    return rows.groupBy("component").applyInPandas(solve, "component long, id long, component_nodes long, cover_size long")
+    return rows.groupBy("component").applyInPandas(solve, "component long, id long, component_nodes long, cover_size long, proven boolean")
 
 
 def _matching(edges: list[tuple]) -> int:

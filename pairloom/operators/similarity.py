@@ -59,13 +59,13 @@ def _blocks(rows: int, block: int) -> int:
     return max(1, -(-rows // block))
 
 
-def blockwise(queries: DataFrame, candidates: DataFrame, work: Callable[[Scores], pa.Table], kind: str, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+def blockwise(queries: DataFrame, candidates: DataFrame, work: Callable[[Scores], pa.Table], kind: str, exclude_self: bool = True, block: int | None = None) -> DataFrame:
     """The union of what ``work`` gives, with schema ``kind``, for every pair of blocks of (id, class, vector) on both sides.
 
     Vectors are unit vectors; the score is their dot product in double precision. ``queries`` may have a column ``extra``, a
     list of doubles that goes with each row.
     """
-    nq, nc = _blocks(queries.count(), block), _blocks(candidates.count(), block)
+    nq, nc = _blocks(queries.count(), block or BLOCK), _blocks(candidates.count(), block or BLOCK)
     extra = F.col("extra") if "extra" in queries.columns else F.lit(None)
     side = lambda df, own, other, k, more: df.select(
         F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"), F.lit(k).alias("side"), F.col("id").cast("long").alias("id"), F.col("class").cast("long").alias("class"), F.col("vector").cast("array<double>").alias("vector"), more.cast("array<double>").alias("extra")
@@ -87,7 +87,7 @@ def blockwise(queries: DataFrame, candidates: DataFrame, work: Callable[[Scores]
     return left.unionByName(right).groupBy("i", "j").applyInArrow(run, kind)
 
 
-def similarity_pairs(queries: DataFrame, candidates: DataFrame, top: int | None = None, least: float | None = None, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+def similarity_pairs(queries: DataFrame, candidates: DataFrame, top: int | None = None, least: float | None = None, exclude_self: bool = True, block: int | None = None) -> DataFrame:
     """Rows (query_id, candidate_id, query_class, candidate_class, score) of (id, class, vector) on both sides.
 
     With ``top``, each query's ``top`` best per block of candidates or more; with ``least``, pairs that reach it; with

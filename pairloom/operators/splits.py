@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def divide_classes(classes: Sequence, ratios: dict[str, float], seed: int) -> dict[str, list]:
     """Classes to subsets by ratios after a seeded shuffle of the sorted list. Cuts are floors; the last subset with a
@@ -30,6 +32,20 @@ def divide_classes(classes: Sequence, ratios: dict[str, float], seed: int) -> di
     return out
 
 
+def hashed_split(classes: DataFrame, key: str, ratios: dict[str, float], seed: int) -> DataFrame:
+    """divide_classes() for classes of any number, shuffled by a seeded sha256 and numbered without one task seeing all: ``key``
+    and subset. Cuts are floors and the last subset with a ratio takes the rest; an empty subset takes none here."""
+    if abs(sum(ratios.values()) - 1) > 1e-9 or min(ratios.values()) < 0:
+        raise ValueError("ratios must be parts of 1")
+    shuffled = numbered(classes, [F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), F.col(key)], "place")
+    total, at, subset = shuffled.count(), 0, None
+    live = [name for name, r in ratios.items() if r > 0]
+    for name in live[:-1]:
+        at += int(total * ratios[name] + 1e-9)
+        subset = F.when(F.col("place") < at, name) if subset is None else subset.when(F.col("place") < at, name)
+    return shuffled.select(key, (F.lit(live[-1]) if subset is None else subset.otherwise(live[-1])).alias("subset"))
+
+
 def membership(rows: DataFrame, parts: dict[str, list], key: str) -> DataFrame:
     """``rows`` with the subset of their class; classes in no subset fall out. ``parts`` has one entry a class."""
     spark = rows.sparkSession

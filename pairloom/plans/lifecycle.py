@@ -30,7 +30,7 @@ def queries_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, c_custkey, c_name FROM (SELECT o_orderkey, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS k FROM orders) o JOIN customer ON c_name = k")
 def derived_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join on a key built from a number and a prefix."""
+    """A join on a key built from a number and a prefix."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("c_name"))
     return o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name").select("o_orderkey", "c_custkey", "c_name")
 
@@ -138,7 +138,7 @@ def verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_returnflag AS model, round(avg(1 - l_discount), 6) AS pc FROM lineitem GROUP BY 1), a(model, alias) AS (VALUES ('R', 'returned'), ('N', 'new')), s AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'returned' WHEN 'MACHINERY' THEN 'new' ELSE 'A' END AS id, count(*) AS n FROM customer GROUP BY 1)
 SELECT m.model, m.pc, coalesce(s.n, 0) / 100 AS cost FROM m LEFT JOIN a USING (model) LEFT JOIN s ON s.id = coalesce(a.alias, m.model)""")
 def sidecar_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics joined to a side table by aliases, with a divisor and a default."""
+    """Metrics joined to a side table by aliases, with a divisor and a default."""
     m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(F.round(F.avg(1 - F.col("l_discount")), 6).alias("pc"))
     alias = spark.createDataFrame([("R", "returned"), ("N", "new")], "model string, alias string")
     segment = F.when(F.col("c_mktsegment") == "BUILDING", "returned").when(F.col("c_mktsegment") == "MACHINERY", "new").otherwise("A")
@@ -156,5 +156,5 @@ def reusable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def orphaned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with rows that nothing refers to."""
+    """Sources with rows that nothing refers to."""
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("source").distinct()

@@ -40,7 +40,7 @@ def exact_hash_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SHA}, g AS (SELECT sha, count(*) AS n FROM d GROUP BY sha) SELECT n AS copies, count(*) AS contents FROM g GROUP BY n")
 def content_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows share a content."""
+    """How many rows share a content."""
     return contents(spark, sf_dir).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("contents"))
 
 
@@ -52,16 +52,6 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clusters(rows, rows.join(first, "sha").select("a", F.col("id").alias("b")))
 
 
-@query("""WITH RECURSIVE l AS (SELECT o_custkey AS a, 10000000 + o_orderkey % 97 AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 UNION SELECT o_custkey, 10000000 + o_orderkey % 97 FROM orders WHERE false),
-u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT x, x AS m FROM u UNION SELECT u.x, r.m FROM r JOIN u ON u.y = r.x), f AS (SELECT x, min(m) AS m FROM r GROUP BY x)
-SELECT m AS component, count(*) AS nodes FROM f GROUP BY m""")
-def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a small graph whose paths are long: customers and groups of large urgent orders alone."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000")
-    links = o.select(F.col("o_custkey").alias("a"), (F.lit(10000000) + F.col("o_orderkey") % 97).alias("b")).distinct()
-    return graph.components(links).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
-
-
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 97 AS b FROM orders), u AS (SELECT DISTINCT x.b AS x, y.b AS y FROM l x JOIN l y USING (a)), r AS (SELECT x, x AS m FROM u UNION SELECT u.x, r.m FROM r JOIN u ON u.y = r.x),
 f AS (SELECT x, min(m) AS m FROM r GROUP BY x) SELECT min(a) AS component, count(DISTINCT a) + count(DISTINCT b) AS nodes FROM l JOIN f ON f.x = l.b GROUP BY m""")
 def order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +86,6 @@ def cluster_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.conflicts(rejected, connected_components(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part WHERE p_size = 1), n AS (SELECT a AS x FROM l UNION SELECT b FROM l) SELECT (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM n) AS nodes, 0::BIGINT AS uncovered, 0::BIGINT AS unwitnessed""")
-def vertex_cover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact minimum cover of a small bipartite graph, brands and types of the smallest parts alone; no link is left
-    uncovered. The whole table and the cover's size are in part_cover."""
-    return cover_counts(table(spark, sf_dir, "part").where("p_size = 1")).drop("cover_size", "matching_size")
-
-
 # No cover needs more than the smaller side; here the matching reaches that, so that it is the size of the minimum.
 @query("""WITH l AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part), n AS (SELECT a AS x FROM l UNION SELECT b FROM l), s AS (SELECT least(count(DISTINCT a), count(DISTINCT b)) AS k FROM l) SELECT (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM n) AS nodes, 0::BIGINT AS uncovered, 0::BIGINT AS unwitnessed, k AS cover_size, k AS matching_size FROM s""")
 def part_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +99,8 @@ def cover_counts(parts: DataFrame) -> DataFrame:
     numbered = ordering.numbered(nodes, [F.col("name")], "id")
     links = p.join(numbered.toDF("p_brand", "a"), "p_brand").join(numbered.toDF("p_type", "b"), "p_type").select("a", "b")
     cover = graph.vertex_cover(links)
+    if not cover.where("not proven").isEmpty():
+        raise ValueError("a cover isn't proven to be a minimum")
     covered = cover.select("id")
     open_ = links.join(covered.toDF("a"), "a", "left_anti").join(covered.toDF("b"), "b", "left_anti")
     seen = graph.witnesses(cover, links)
@@ -197,7 +182,7 @@ REVIEW = "c AS (SELECT l_partkey AS a, l_suppkey + 1000000 AS b, max(l_extendedp
 
 @query(f"""WITH {REVIEW} SELECT a, b, p_name AS a_name, s_name AS b_name, score, same, prediction FROM c JOIN o USING (a, b) JOIN part ON p_partkey = a JOIN supplier ON s_suppkey + 1000000 = b WHERE status = 'ok' AND (same OR prediction = 1)""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates, outcomes and both sides, of pairs that are worth a review."""
+    """Candidates, outcomes and both sides, of pairs that are worth a review."""
     li = table(spark, sf_dir, "lineitem").withColumns({"a": F.col("l_partkey"), "b": F.col("l_suppkey") + 1000000})
     candidates = li.groupBy("a", "b").agg(F.max("l_extendedprice").alias("score"), F.bool_or(F.col("l_discount") == 0).alias("same"))
     outcomes = li.groupBy("a", "b").agg(F.max(F.when(F.col("l_linestatus") == "F", "ok").otherwise("failed")).alias("status"), F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("prediction"))
@@ -248,13 +233,13 @@ def split_leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.subset_overlaps(contents(spark, sf_dir), "source", "sha")
 
 
-@query()
+@query("""WITH c AS (SELECT n, row_number() OVER (ORDER BY sha256('7:' || n), n) - 1 AS i, count(*) OVER () AS t FROM (SELECT DISTINCT c_nationkey AS n FROM customer) x),
+s AS (SELECT n, CASE WHEN i < floor(t * 0.7) THEN 'train' WHEN i < floor(t * 0.7) + floor(t * 0.15) THEN 'val' ELSE 'test' END AS subset FROM c) SELECT subset, count(DISTINCT n) AS classes, count(*) AS rows FROM customer JOIN s ON n = c_nationkey GROUP BY subset""")
 def class_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers split by nation with a seeded shuffle, counted by subset; no nation is in two."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
-    nations = [r["nation"] for r in c.select("nation").distinct().collect()]  # classes, not rows
-    parts_ = splits.divide_classes(nations, {"train": 0.7, "val": 0.15, "test": 0.15}, 7)
-    return splits.membership(c, parts_, "nation").groupBy("subset").agg(F.countDistinct("nation").alias("classes"), F.count(F.lit(1)).alias("rows"))
+    """Customers split by nation with a seeded shuffle, counted by subset; no nation is in two."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    parts_ = splits.hashed_split(c.select("nation").distinct(), "nation", {"train": 0.7, "val": 0.15, "test": 0.15}, 7)
+    return c.join(parts_, "nation").groupBy("subset").agg(F.countDistinct("nation").alias("classes"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("""SELECT o_orderpriority AS kind, slot, count(*) AS rows FROM (SELECT o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 3 AS slot FROM orders) s GROUP BY ALL""")
@@ -273,7 +258,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT name, CASE WHEN n = 1 THEN name ELSE name || '_' || lpad(n::VARCHAR, 3, '0') END AS unique_name, id FROM (SELECT p_type AS name, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM part) s""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated names numbered."""
+    """Repeated names numbered."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
@@ -284,7 +269,7 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT id, norm, round(len(list_intersect(ws, vs)) / greatest(1, len(list_distinct(list_concat(ws, vs)))), 6) AS like_type, len(ws)::BIGINT AS words, (norm IN ('green lace', 'blue steel') OR len(ws) < 3) AS generic FROM (
   SELECT p_partkey AS id, """ + NORM.format("p_name") + """ AS norm, list_distinct(list_filter(string_split(""" + NORM.format("p_name") + """, ' '), lambda x: x <> '')) AS ws, list_distinct(list_filter(string_split(""" + NORM.format("p_type") + """, ' '), lambda x: x <> '')) AS vs FROM part) t""")
 def title_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised titles, their words, and whether they are generic."""
+    """Normalised titles, their words, and whether they are generic."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), strings.normalised_text(F.col("p_name"), ascii_only=True).alias("norm"), strings.normalised_text(F.col("p_type"), ascii_only=True).alias("other"))
     return p.select("id", "norm", F.round(strings.jaccard(strings.token_set(F.col("norm")), strings.token_set(F.col("other"))), 6).alias("like_type"), F.size(strings.token_set(F.col("norm"))).cast("long").alias("words"), strings.generic_title(F.col("norm"), ["green lace", "blue steel"]).alias("generic"))
 

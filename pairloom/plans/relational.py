@@ -32,11 +32,11 @@ SQL = {
     # left join on an aggregate (its largest status; for all of them, customer_tags), and existence
     "tagged_customers": """SELECT c_custkey, c_name, coalesce(n, 0) AS orders_, coalesce(statuses, '') AS statuses FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderstatus) AS statuses FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey
       WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)""",
-    # Correlated existence, joined by or and by not
+    # Correlated existence, joined by or and by not
     "existence_branches": """SELECT c_custkey FROM customer WHERE (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') OR c_acctbal > 9000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""",
     # Scalar correlated subquery
     "above_own_average": """SELECT o_custkey, count(*) AS n FROM orders o WHERE o_totalprice > (SELECT avg(p.o_totalprice) FROM orders p WHERE p.o_custkey = o.o_custkey) GROUP BY o_custkey""",
-    # Semi and anti joins
+    # P10: semi and anti joins
     "suppliers_without_lines": """SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey IS NOT NULL)""",
     # U01 U02 U03 set operations
     "nation_sets": """SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) a
@@ -50,17 +50,17 @@ SQL = {
       lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS quarter FROM orders""",
     # W01 with a limit for each group
     "top_orders": """SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) t WHERE n <= 3""",
-    # Chains of look-ups, the first that gives one
+    # chains of look-ups, the first that gives one
     "first_lookup": """SELECT p_partkey, coalesce(s1.s_name, s2.s_name, 'none') AS supplier FROM part LEFT JOIN supplier s1 ON s1.s_suppkey = p_partkey AND s1.s_acctbal > 0 LEFT JOIN supplier s2 ON s2.s_suppkey = p_partkey % 100""",
-    # Filters with alternatives and a reason for what falls out
+    # filters with alternatives and a reason for what falls out
     "admission": """SELECT CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'segment' ELSE 'admitted' END AS reason, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1""",
-    # Membership look-up with a default
+    # counts by role
     "conversation_turns": """SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, max(turn) AS last_turn FROM conversations GROUP BY role""",
-    # A45 A49 P07
+    # Progress counts
     "label_coverage": """SELECT d.lang, count(*) AS documents, count(l.doc_id) AS labelled, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, CAST(sum(CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang""",
     # J21 as a range join, by one bucket a row
     "price_bands": """SELECT band, count(*) AS parts, round(min(p_retailprice), 2) AS least, round(max(p_retailprice), 2) AS most FROM (SELECT CAST(floor(p_retailprice / 100) * 100 AS BIGINT) AS band, p_retailprice FROM part) t GROUP BY band""",
-    # Formats and labels
+    # conditional labels and padded text
     "labelled_prices": """SELECT p_partkey, CASE WHEN p_name LIKE '%e%' AND p_size > 25 THEN 'large e' WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind, concat(p_brand, '/', lpad(cast(p_size AS VARCHAR(10)), 3, '0')) AS code FROM part""",
 }
 
@@ -156,7 +156,7 @@ def retry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'balance' AS rule, count(*) FILTER (NOT coalesce(c_acctbal >= 0, false)) AS violations FROM customer UNION ALL SELECT 'name', count(*) FILTER (NOT coalesce(c_name LIKE 'Customer%', false)) FROM customer UNION ALL SELECT 'nation', count(*) FILTER (NOT coalesce(c_nationkey BETWEEN 0 AND 24, false)) FROM customer""")
 def completeness_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that break a rule, for each rule."""
+    """Rows that break a rule, for each rule."""
     missing = manifests.missing_tables(spark, sf_dir, {"customer": ["c_custkey", "c_acctbal", "c_name", "c_nationkey"]})
     if missing:
         raise ValueError(f"missing: {missing}")
@@ -173,7 +173,7 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT 'f' || c_custkey AS file_id FROM customer WHERE c_nationkey % 3 IN (0, 1) AND c_acctbal >= 0""")
 def split_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of named subsets and roles of a split document."""
+    """Files of named subsets and roles."""
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file_id"), F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("c_nationkey") % 3 + 1).alias("subset"), F.when(F.col("c_acctbal") >= 0, "modern").otherwise("historic").alias("role"))
     return manifests.select_files(rows, ["train", "val"], ["modern"])
 

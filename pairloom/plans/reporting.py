@@ -127,7 +127,7 @@ def extreme_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EPOCHS} SELECT e.epoch, e.model, e.pc, b.pc AS base_value, round(e.pc - b.pc, 6) AS delta FROM e JOIN e b ON b.epoch = e.epoch AND b.model = 'AF'""")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences to a base model."""
+    """Differences to a base model."""
     return runs.against_base(epochs(spark, sf_dir).select("epoch", "model", "pc"), ["epoch"], "model", "AF", "pc")
 
 
@@ -167,16 +167,16 @@ def crossing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("model").agg(F.bool_or(inside).alias("crosses"), F.array_join(F.transform(F.array_sort(F.collect_list("epoch")), lambda e: e.cast("string")), ",").alias("epochs"))
 
 
-@query("""SELECT k AS name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'found' ELSE 'configured' END AS origin FROM (SELECT coalesce(x.k, y.k) AS k, x.k IS NOT NULL AS a, y.k IS NOT NULL AS b FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900) x FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) y ON x.k = y.k) z""")
+@query("""SELECT k AS name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'found' ELSE 'configured' END AS origin FROM (SELECT coalesce(x.k, y.k) AS k, x.k IS NOT NULL AS a, y.k IS NOT NULL AS b FROM (SELECT DISTINCT o_custkey AS k FROM orders) x FULL JOIN (SELECT c_custkey AS k FROM customer) y ON x.k = y.k) z""")
 def model_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is found against what is configured."""
-    found = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("name")).distinct()
-    return selection.inventory(found, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("name")).distinct(), "name")
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name")).distinct()
+    return selection.inventory(found, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name")), "name")
 
 
 @query("SELECT o_custkey AS id, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS role FROM orders GROUP BY o_custkey")
 def unambiguous_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A role only where it is unambiguous."""
+    """A role only where it is unambiguous."""
     return selection.unambiguous(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("role")), "id", "role")
 
 
@@ -195,7 +195,7 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RUNS} SELECT model, metric, round(avg(value), 6) AS mean, count(*) AS n FROM (UNPIVOT (SELECT model, pc, rr FROM r) ON pc, rr INTO NAME metric VALUE value) u GROUP BY ALL""")
 def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics unpivoted to long rows and averaged."""
+    """Metrics unpivoted to long rows and averaged."""
     rows = metric_rows(spark, sf_dir).unpivot(["model"], ["pc", "rr"], "metric", "value")
     return rows.groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
@@ -209,7 +209,7 @@ def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT c.c_custkey AS id, 'original' AS kind FROM customer c JOIN a ON a.o_custkey = c.c_custkey UNION ALL SELECT first, 'derived' FROM a""")
 def derived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with one derived row for each class, from its first."""
+    """Rows with one derived row for each class, from its first."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("id"))
     known = c.join(first, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").alias("id"), F.lit("original").alias("kind"))

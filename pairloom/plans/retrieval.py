@@ -186,13 +186,17 @@ def without_largest_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certify.without_largest(true_ranks(spark, sf_dir), 40)
 
 
-@query()
+@query(f"""{PAIRS}, v AS (SELECT ql, k, count(*) FILTER (rk <= k) / count(*) AS pc FROM r CROSS JOIN (SELECT unnest([10, 40]) AS k) ks WHERE hit GROUP BY ALL),
+x AS (SELECT 'pc@' || k AS key, ql AS class, pc AS value FROM v UNION ALL SELECT 'pc@40 - pc@10', ql, max(pc) FILTER (k = 40) - max(pc) FILTER (k = 10) FROM v GROUP BY ql),
+o AS (SELECT label AS class, row_number() OVER (ORDER BY label) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM embeddings) l),
+d AS (SELECT s.range AS resample, k.range AS k, ('0x' || md5('0:' || s.range || ':' || k.range)[1:8])::BIGINT % (SELECT max(n) FROM o) AS place FROM range(2000) s, range((SELECT max(n) FROM o)) k),
+m AS (SELECT x.key, resample, sum(value * times) / sum(times) AS m FROM (SELECT resample, class, count(*) AS times FROM d JOIN o USING (place) GROUP BY ALL) t JOIN x USING (class) GROUP BY ALL),
+q AS (SELECT key, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END) AS positive FROM m GROUP BY key)
+SELECT key, round(c.mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(positive, 6) AS positive, low > 0 OR high < 0 AS zero_excluded FROM q JOIN (SELECT key, avg(value) AS mean FROM x GROUP BY key) c USING (key)""")
 def bootstrap_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the completeness at two k over resampled classes, and of their difference; draws are seeded."""
-    view = true_ranks(spark, sf_dir)
-    losses = certify.class_losses(view, [10, 40]).withColumn("value", 1 - F.col("loss"))
-    classes = sorted(r["class"] for r in vectors(spark, sf_dir).select("class").distinct().collect())
-    draws = spark.createDataFrame(certify.bootstrap_draws(classes, 2000, 0), "resample int, class long, times int")
+    losses = certify.class_losses(true_ranks(spark, sf_dir), [10, 40]).withColumn("value", 1 - F.col("loss"))
+    draws = certify.bootstrap_draws(vectors(spark, sf_dir).select("class"), 2000, 0)
     values = losses.select(F.concat(F.lit("pc@"), F.col("k").cast("string")).alias("key"), F.col("query_class").alias("class"), "value")
     wide = losses.groupBy(F.col("query_class").alias("class")).agg(F.sum(F.when(F.col("k") == 40, F.col("value")).otherwise(-F.col("value"))).alias("value"))
     return certify.bootstrap_interval(values.unionByName(wide.select(F.lit("pc@40 - pc@10").alias("key"), "class", "value")), draws)

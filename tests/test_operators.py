@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import strings, vectors
-from pairloom.operators import blocking, calibrate, certify, graph, metrics, pairs, runs, similarity, splits
+from pairloom.operators import blocking, calibrate, certify, graph, lookups, metrics, ordering, pairs, runs, similarity, splits
 from pairloom.sources import manifests, storage
 
 
@@ -255,3 +255,71 @@ def test_paged_scan_drops_repeats(spark):
 
     got = manifests.paged_scan(spark, fetch, 3, "objectid long, title string", "objectid").orderBy("objectid").collect()
     assert [(r["objectid"], r["title"]) for r in got] == [(0, "p0"), (1, "p0"), (2, "p0"), (3, "p1"), (4, "p1"), (5, "p2"), (6, "p2")]
+
+
+def test_cover_out_of_time_is_not_proven():
+    rnd = random.Random(1)
+    edges = [(a, b) for a in range(60) for b in range(a + 1, 60) if rnd.random() < 0.3]
+    cover, proven = graph._cover_within(edges, 0.0)
+    assert not proven and all(a in cover or b in cover for a, b in edges)
+    assert graph._cover_within(edges[:20], 60)[1]
+
+
+def test_numbers_of_a_total_order(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"))
+    got = ordering.numbered(rows, [F.desc("x")], "place").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(5000)) and [r["x"] for r in got] == sorted((r["x"] for r in got), reverse=True)
+    assert ordering.numbered(rows.limit(0), [F.col("x")]).count() == 0
+
+
+def test_source_of_two_models_is_an_error(spark):
+    models = spark.createDataFrame([("m", ["a"]), ("n", ["b"])], "model_id string, aliases array<string>")
+    source = lambda *names: spark.createDataFrame([(1, list(names), "own")], "key int, identities array<string>, fallback string")
+    assert [lookups.model_of_source(source(*x), models).first()["model_id"] for x in (("a",), ("b", "b"), ("c",))] == ["m", "n", "own"]
+    with pytest.raises(Exception, match="several models"):
+        lookups.model_of_source(source("a", "b"), models).collect()
+
+
+def test_stems_step_over_taken_numbers(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x_002"), (4, "x"), (5, "x_004"), (6, "x"), (7, "y"), (8, "y")], "id long, name string")
+    got = {r["id"]: r["unique_name"] for r in lookups.unique_stems(rows).collect()}
+    assert got == {1: "x", 2: "x_003", 3: "x_002", 4: "x_005", 5: "x_004", 6: "x_006", 7: "y", 8: "y_002"}
+
+
+def test_verdicts(spark):
+    cases = [
+        ("view of the old harbour", "view of the old harbour", "rembrandt", "vermeer", 1.0, True, "obvious_false_positive"),
+        ("view of the old harbour", "view of the old harbour", "rembrandt", "rembrandt van rijn", 1.0, True, "likely"),
+        ("landscape", "landscape", "rembrandt", "rembrandt", 1.0, True, "uncertain"),
+        ("view of the old harbour", "view of the harbour", "rembrandt", "rembrandt", 0.8, False, "uncertain"),
+        ("view of the old harbour", "view of the old harbour", "unknown master", "painter", 1.0, True, "uncertain"),
+    ]
+    d = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string, x string, y string, s double, e boolean, want string")
+    norm = lambda c: strings.normalised_text(F.col(c), strings.GERMAN_STOP_WORDS, ascii_only=True)
+    got = d.select("want", strings.match_verdict(norm("a"), norm("b"), norm("x"), norm("y"), F.col("s"), F.col("e")).alias("v")).collect()
+    assert [r["v"] for r in got] == [r["want"] for r in got]
+
+
+def test_blockwise_reductions_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    rnd = random.Random(5)
+    rows = []
+    for k in range(90):
+        v = [rnd.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(3)]  # many equal scores
+        n = sum(x * x for x in v) ** 0.5
+        rows.append((k, k % 7, [x / n for x in v]))
+    v = spark.createDataFrame(rows, "id long, class long, vector array<double>")
+    pairs_ = similarity.similarity_pairs(v, v).cache()
+    counts = metrics.class_counts(v, v)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(metrics.rank_view(similarity.ranked(pairs_)), similarity.true_ranks(v, v))
+    for t in ([0.0, 0.5, 0.9],):
+        assert same(metrics.threshold_metrics(pairs_, counts, t), metrics.threshold_metrics(similarity.score_counts(v, v, t), counts, t))
+    assert same(metrics.score_histogram(pairs_), metrics.score_histogram(similarity.score_bins(v, v, metrics.histogram_bin(80))))
+    assert same(metrics.quantiles_by_bins(pairs_, [0.0, 0.3, 1.0]), metrics.quantiles_by_bins(similarity.score_bins(v, v, metrics.quantile_bin()), [0.0, 0.3, 1.0]))
+    targets = [0.01, 0.5, 0.9, 1.0, 1.5]
+    points = calibrate.target_operating_points(pairs_, counts, targets)
+    assert same(points, calibrate.joined_operating_points(v, v, targets))
+    assert same(calibrate.transferred(points, pairs_, counts), calibrate.joined_transferred(points, v, v))
+    assert same(similarity.hard_negatives(pairs_, 4), similarity.nearest_negatives(v, v, 4))
+    assert same(similarity.guarded_negatives(pairs_, 4), similarity.nearest_negatives(v, v, 4, guarded=True))
