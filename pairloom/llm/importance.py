@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..operators.ordering import numbered
+from ..session import by_batches, ship_package
 from .shared import small, written
 from .shingles import mix, slices, words
 
@@ -46,7 +47,7 @@ def gram_counts(texts: DataFrame, name: str) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["bucket", "n"])
 
-    counts = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = by_batches(texts, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS)
     for r in counts.collect():
         out[r["bucket"]] = r["n"]
@@ -87,7 +88,7 @@ def top_k(keyed: DataFrame, k: int) -> DataFrame:
         need -= taken
         edge = edge.where(bin_ == at)
     above = keyed.join(edge.agg(F.max("key").alias("top")).hint("broadcast"), F.col("key") > F.col("top"), "inner").drop("top")
-    last = edge.orderBy(F.desc("key"), F.desc("doc_id")).limit(need)
+    last = numbered(edge, [F.desc("key"), F.desc("doc_id")], "place").where(F.col("place") < need).drop("place")
     return above.unionByName(last)
 
 
@@ -113,7 +114,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int =
             if sizes:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ratios))], ["doc_id", "n_grams", "log_ratio"])
 
-    scored = docs.mapInArrow(run, "doc_id long, n_grams long, log_ratio double")
+    scored = by_batches(docs, run, "doc_id long, n_grams long, log_ratio double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     scored = written(scored.withColumn("key", F.round(F.col("log_ratio") - F.log(-F.log(uniform)), 9)), "importance")
     return top_k(scored, int(scored.count() * share))

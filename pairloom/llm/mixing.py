@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, small, written
+from ..operators.ordering import numbered
+from .shared import WORD, discard, small, written
 
 #: Most copies of a document.
 MOST = 2
@@ -29,22 +30,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     """Of (source_key, source, size): a row for each source: source_key, source_size, target.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` times all sizes; no target is
-    above ``MOST`` times its source's size, and what is above goes to the others by weight. That is water filling: with
-    the sources in the order of cap over weight, a level holds from the first source on whose cap is not below it.
+    above ``MOST`` times its source's size, and what is above goes to the others by weight. That is water filling: the level
+    is raised while some source's cap is below it, each round one sum over the sources; the capped ones only grow, so the
+    level is exact once no more are capped. Sources, of which there may be many, are numbered without one task seeing all.
     """
     per = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "source_key")
-    all_rows = Window.partitionBy(F.lit(0))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(all_rows) * share - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", level)
-    holds = F.col("level") <= F.col("cap") / F.col("weight")
-    per = per.withColumn("level", F.min(F.when(holds, F.struct(F.col("cap") / F.col("weight"), "source_key", "level"))).over(all_rows)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("turn"), F.lit(len(weights))) + 1).cast("int"))
+    per = numbered(per, [F.col("source").asc_nulls_last()], "turn").select("source_key", "source_size", weight.alias("weight"), (F.col("source_size") * MOST).alias("cap"))
+    per = written(per, "sources")
+    level, capped = float("-inf"), -1
+    while True:
+        full = F.col("cap") / F.col("weight") <= F.lit(level)
+        sums = per.agg(F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("n")).first()
+        if sums["n"] == capped or not sums["open"]:
+            break
+        capped, level = sums["n"], max(level, (sums["all"] * share - sums["caps"]) / sums["open"])
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
     return per.select("source_key", "source_size", target.cast("double").alias("target"))
 
 
@@ -75,7 +76,8 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, steps: int = STEPS) -> Dat
         newton = F.when(F.col("slope") > 0, tilt - gap / F.col("slope"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         best = F.when(F.abs(gap) <= F.col("target") * 1e-9, tilt).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(moved.select("source_key", "target", "low", "high", best.alias("tilt")), f"tilts-{step}")
+        old, state = state if step else None, written(moved.select("source_key", "target", "low", "high", best.alias("tilt")), f"tilts-{step}")
+        discard(old)
     return state.select("source_key", "tilt")
 
 
@@ -93,6 +95,7 @@ def whole_copies(cells: DataFrame, targets: DataFrame, tilts: DataFrame, rounds:
     before = F.coalesce(F.lag("upto").over(Window.partitionBy("source_key").orderBy(F.desc("size"))), F.lit(0))
     copies = F.greatest(F.lit(0), F.least(F.col("upto") - before, F.col("n") * MOST))
     cells = written(cells.select("source_key", "size", "n", "source_size", "target", copies.cast("long").alias("copies")), "copies-0")
+    done = cells
     for k in range(rounds):
         left = cells.groupBy("source_key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
         open_ = cells.join(left, "source_key")
@@ -103,7 +106,9 @@ def whole_copies(cells: DataFrame, targets: DataFrame, tilts: DataFrame, rounds:
         pick = open_.where(useful).groupBy("source_key").agg(F.min(F.struct(off.alias("off"), "size", (count * F.signum("left")).cast("long").alias("more"))).alias("pick"))
         pick = pick.select("source_key", F.col("pick.size").alias("size"), F.col("pick.more").alias("more"))
         cells = cells.join(pick, ["source_key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
-        cells = written(cells, f"copies-{k + 1}")
+        old, cells = done, written(cells, f"copies-{k + 1}")
+        discard(old)
+        done = cells
     return cells
 
 
