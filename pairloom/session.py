@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairloom", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -32,8 +35,33 @@ def build_session(app: str = "pairloom", master: str | None = None, partitions:
     return builder.getOrCreate()
 
 
+#: Most bytes of an Arrow batch that goes to a Python worker: with long rows Spark's own bounds let a batch be 64 MB, which
+#: the JVM and the worker hold several times over.
+BATCH_BYTES = 8 << 20
+
+
+def by_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, a worker giving back at the end of each task what its allocators hold: workers are used
+    again, and what one task leaves in them counts against the memory of the next."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once a Spark context; operators with Python code call it."""
+    """Make this package importable in Python workers, once a Spark context, and keep their batches small; operators with
+    Python code call it."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(bound).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(bound, f"{BATCH_BYTES}b")
     context = spark.sparkContext
     if getattr(context, "_pairloom_shipped", False):
         return
