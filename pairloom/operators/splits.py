@@ -96,6 +96,14 @@ def sample_per_class(rows: DataFrame, key: str, per_class: int, seed: int, id_co
     return rows.withColumn("_place", place).where(F.col("_place") <= per_class).drop("_place")
 
 
+def first_per_class(rows: DataFrame, key: str, per_class: int, order: list[Column]) -> DataFrame:
+    """The first ``per_class`` rows of each class in ``order``."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= per_class).drop("_place")
+
+
 def round_robin(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     from pyspark.sql import Window
 

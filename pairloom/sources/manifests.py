@@ -231,3 +231,84 @@ def resource_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = docs.select("run", "model", "by_folder", n.alias("num_images"), F.round(F.when(seconds > 0, n / seconds), 6).alias("images_per_second"), F.coalesce("summary.embedding_dimensionality", "embedding.embedding_dimensionality", "about.embedding_dim").alias("dimensions"))
     first = F.row_number().over(Window.partitionBy("run", "model").orderBy(F.desc("by_folder")))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def cached_scan(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """A CSV table that is made once: read where it is whole, otherwise made, and whether it was made. A table is whole when its
+    committer has marked it, so a broken download is made again."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    if not there:
+        make().write.mode("overwrite").option("header", True).csv(path)
+    return spark.read.option("header", True).csv(path), not there
+
+
+def fetched(keys: DataFrame, fetch: Callable[[str], str], cache: str) -> DataFrame:
+    """Responses (key, body, error) for distinct keys, those that the cache has, failures too, not asked for again. ``fetch`` runs
+    in tasks; what it raises is the row's error. New rows are added to the cache before any is used."""
+    spark, kind = keys.sparkSession, "key string, body string, error string"
+    place = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    old = spark.read.schema(kind).parquet(cache) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else spark.createDataFrame([], kind)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key in batch["key"]:
+                try:
+                    rows.append((key, fetch(key), None))
+                except Exception as error:
+                    rows.append((key, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["key", "body", "error"])
+
+    keys = keys.select(F.col("key").cast("string")).distinct()
+    keys.join(old.select("key"), "key", "left_anti").mapInPandas(run, kind).write.mode("append").parquet(cache)
+    return spark.read.schema(kind).parquet(cache).join(keys, "key", "left_semi")
+
+
+def rank_files(spark: SparkSession, path: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """Rank documents (rank_positions.json at any depth) as rows (label, seed, rank, n), of those with a label, by the first rule
+    (pattern, label) that their folder meets; of several for a label and seed the first by path stays."""
+    schema = "ranks array<struct<rank: int, n: long>>"
+    docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "rank_positions.json").json(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/rank_positions\.json$", 1)
+    label = F.coalesce(*[F.when(F.regexp_like("run", F.lit(p)), F.lit(x)) for p, x in rules])
+    docs = docs.select(name.alias("run"), F.input_file_name().alias("path"), "ranks").withColumn("label", label).where("label is not null")
+    docs = docs.withColumn("seed", F.regexp_extract("run", r"-s(\d+)", 1))
+    first = F.row_number().over(Window.partitionBy("label", "seed").orderBy("path"))
+    return docs.withColumn("_n", first).where("_n = 1").select("label", "seed", F.explode("ranks").alias("r")).select("label", "seed", "r.rank", "r.n")
+
+
+def load_tables(spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Several tables written below a folder, each with the first row of every key (by all its columns), as one that is inserted
+    twice is left out; then how many rows were given and kept: table_name, given, kept."""
+    out = None
+    for name, (df, key) in tables.items():
+        first = F.row_number().over(Window.partitionBy(*key).orderBy(*df.columns))
+        df.withColumn("_n", first).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{path}/{name}")
+        kept = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("kept"))
+        row = df.agg(F.count(F.lit(1)).alias("given")).join(F.broadcast(kept)).select(F.lit(name).alias("table_name"), "given", "kept")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def publish(spark: SparkSession, rows: DataFrame, path: str, rules: dict[str, Column]) -> DataFrame:
+    """Write rows beside ``path``, check what has been written against rules (name, condition that every row meets), and only
+    then rename it to ``path``, which must not be there yet. What is published is read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
+    system = place.getFileSystem(conf)
+    if system.exists(place):
+        raise ValueError(f"already published: {path}")
+    rows.write.mode("overwrite").parquet(f"{path}.staging")
+    broken = [r["rule"] for r in rule_report(spark.read.parquet(f"{path}.staging"), rules).where("violations > 0").collect()]
+    if broken:
+        system.delete(staging, True)
+        raise ValueError(f"not published: {', '.join(broken)}")
+    if not system.rename(staging, place):
+        raise OSError(f"can't rename to {path}")
+    return spark.read.parquet(path)
+
+
+def number_lines(values: DataFrame) -> DataFrame:
+    """Values (key, value) as the lines of a file of LaTeX numbers, in the order of keys: line. Both are escaped by the caller."""
+    return values.orderBy("key").select(F.concat(F.lit("\\pnset{"), "key", F.lit("}{"), "value", F.lit("}")).alias("line"))
