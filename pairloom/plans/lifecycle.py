@@ -80,7 +80,11 @@ def severity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(x.alias("x"), bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"))
 
 
-@query()
+@query("""WITH f AS (SELECT c_nationkey::BIGINT AS scene, c_custkey AS id, c_acctbal / 100 AS x, (c_custkey % 10)::DOUBLE AS y FROM customer), t AS (SELECT s_nationkey::BIGINT AS scene, s_suppkey AS id, s_acctbal / 100 AS x, (s_suppkey % 10)::DOUBLE AS y FROM supplier),
+o AS (SELECT scene, f.id AS f, t.id AS t, greatest(0, least(f.x + 40, t.x + 40) - greatest(f.x, t.x)) * greatest(0, least(f.y + 10, t.y + 10) - greatest(f.y, t.y)) AS i FROM f JOIN t USING (scene)),
+p AS (SELECT scene, f, t, i / (800 - i) AS iou FROM o WHERE i / (800 - i) >= 0.5),
+g AS (SELECT scene, list_reduce(list([{'f': f, 't': t, 'iou': iou}] ORDER BY iou DESC, f, t), lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.f = x[1].f OR a.t = x[1].t)) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM p GROUP BY scene)
+SELECT scene, len(m) AS matches, round(list_avg(list_transform(m, lambda a: round(a.iou, 6))), 6) AS mean_iou FROM g""")
 def box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found and true boxes of a scene matched one to one; scenes are nations, boxes come from balances."""
     box = lambda df, key, bal, found: df.select(F.col(f"{key[0]}_nationkey").cast("long").alias("scene"), F.lit(found).alias("found"), F.col(key).alias("id"), (F.col(bal) / 100).alias("x0"), (F.col(key) % 10).cast("double").alias("y0"), (F.col(bal) / 100 + 40).alias("x1"), (F.col(key) % 10 + 10).cast("double").alias("y1"))
