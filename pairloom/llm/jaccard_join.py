@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..session import ship_package
+from ..session import by_batches, ship_package
 from . import shared
 from .shared import discard, small, written
 from .shingles import shingle_sets
@@ -105,7 +105,7 @@ def base_table(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1)], _lists(heads)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "head"])
 
-    return written(docs.mapInArrow(run, BASE), "sets")
+    return written(by_batches(docs, run, BASE), "sets")
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(batch.column(1)))], ["id", "s"])
 
-    return written(docs.join(small(ids.toDF("id")), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s array<long>"), "whole")
+    return written(by_batches(docs.join(small(ids.toDF("id")), "id", "left_semi").select("id", "text"), run, "id long, s array<long>"), "whole")
 
 
 class Sets:
@@ -212,9 +212,9 @@ def postings(docs: DataFrame, base: DataFrame, frequent: np.ndarray) -> DataFram
 
     heads = base.select("id", "n", "head")
     kind = "h long, id long, n long"
-    asked = written(heads.mapInArrow(untold, "id long"), "untold")
+    asked = written(by_batches(heads, untold, "id long"), "untold")
     whole = sets_of(docs, asked)
-    found = written(heads.mapInArrow(from_heads, kind).union(whole.mapInArrow(from_sets, kind)), "postings")
+    found = written(by_batches(heads, from_heads, kind).union(by_batches(whole, from_sets, kind)), "postings")
     discard(asked, whole)
     return found
 
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
                 keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    linked = written(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "linked")
+    linked = written(by_batches(rows.select("a", "b", "sa", "sb"), run, "a long, b long"), "linked")
     discard(*done)
     return linked
 
@@ -379,7 +379,7 @@ def long_pairs(blocks: DataFrame, sets: Sets) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s) for s in _arrays(batch.column(1))], pa.binary())], ["id", "bits"])
 
-    bits = sets.of(names).select("id", "s").mapInArrow(bits_of, "id long, bits binary")
+    bits = by_batches(sets.of(names).select("id", "s"), bits_of, "id long, bits binary")
     rows = rows.join(ids.join(bits, "id"), "id")
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import by_batches, ship_package
 from . import tokens
 from .shared import written
 
@@ -44,7 +44,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return written(rows.mapInArrow(run, FIRST), "ids", compression="zstd")
+    return written(by_batches(rows, run, FIRST), "ids", compression="zstd")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -83,4 +83,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         if pieces:
             yield rows(pieces)
 
-    return table.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return by_batches(table, run, PIECES + ", ids binary" * with_ids)

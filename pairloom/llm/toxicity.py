@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import by_batches, ship_package
 from .boosting import Isotonic, Trees, boost, isotonic, sigmoid
 from .shared import written
 
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
             x = pa.FixedSizeListArray.from_arrays(pa.array(features(batch.column(0), words).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), x], ["doc_id", "label", "fit", "x"])
 
-    got = sample.select("text", "doc_id", "label", fitted.alias("fit")).mapInArrow(run, "doc_id long, label long, fit boolean, x array<double>").collect()
+    got = by_batches(sample.select("text", "doc_id", "label", fitted.alias("fit")), run, "doc_id long, label long, fit boolean, x array<double>").collect()
     got.sort(key=lambda r: r["doc_id"])
     x, y, fit = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got], float), np.array([r["fit"] for r in got], bool)
     trees = boost(x[fit], y[fit], rounds=80, depth=3, rate=0.15)
@@ -209,7 +209,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(batch.column(1), words)))], ["doc_id", "score"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = by_batches(docs, run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -228,4 +228,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = model.score(features(batch.column(place).fill_null(""), words))
             yield batch.filter(pa.array(scores < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_batches(docs, run, docs.schema)
