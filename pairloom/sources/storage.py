@@ -44,8 +44,14 @@ BROADCAST = 2_000_000
 
 
 def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """``df``, a written table of a few numbers a row, for a join: broadcast if it has at most ``most`` rows, which is
-    counted, and otherwise left to Spark, which shuffles."""
+    """``df``, a written table of a few numbers a row under distinct keys, for a join: broadcast if it has at most ``most`` rows,
+    and otherwise left to Spark, which shuffles. Distinct keys take more than a byte each, so rows are counted only in tables
+    of more than ``most`` bytes."""
+    path, spark = vars(df).get("written_to"), df.sparkSession
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength() <= most:
+            return F.broadcast(df)
     return F.broadcast(df) if df.count() <= most else df
 
 
