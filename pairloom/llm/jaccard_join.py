@@ -122,7 +122,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(batch.column(1)))], ["id", "s"])
 
-    return written(by_batches(docs.join(small(ids.toDF("id")), "id", "left_semi").select("id", "text"), run, "id long, s array<long>"), "whole")
+    return written(by_batches(docs.join(small(ids), "id", "left_semi").select("id", "text"), run, "id long, s array<long>"), "whole")
 
 
 class Sets:
@@ -428,7 +428,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         once = known
         docs = docs.where("id is not null").dropDuplicates(["id"])
     copies = written(representatives(known), "copies")
-    unique = known.join(small(copies.select("id")), "id", "left_anti")
+    unique = known.join(small(copies).select("id"), "id", "left_anti")
     frequent = frequent_shingles(unique)
     rows = postings(docs.where("id is not null"), unique, frequent)
     shared_ = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
@@ -465,7 +465,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comps = written(graph.components(reduce(DataFrame.union, links)), "comps")
     rep = copies
     if comps is not None:
-        rep = copies.join(small(comps.withColumnRenamed("id", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("rep")).union(comps.join(small(copies.select("id")), "id", "left_anti").select("id", "component"))
+        rep = copies.join(small(comps).withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("rep")).union(comps.join(small(copies).select("id"), "id", "left_anti").select("id", "component"))
         rep = written(rep, "rep")
     discard(*links, found)
     rows = sizes.join(small(rep), "id", "left")
