@@ -115,3 +115,15 @@ def early_stop(epochs: DataFrame, group: str, epoch: str, value: str) -> DataFra
     rows = rows.withColumn("island", F.sum(F.col("new_best").cast("long")).over(order))
     since = F.row_number().over(Window.partitionBy(group, "island").orderBy(epoch)) - 1
     return rows.withColumn("since_best", since.cast("long")).drop("island")
+
+
+def bars(rows: DataFrame, model: str, step: str, pc: str, rr: str, targets: list[float]) -> DataFrame:
+    """Bars of charts: for each target the models' mean ``pc`` at the first step that reaches it, models that never do having
+    none, and every model's mean ``rr``: chart, target, model, value, place (best first, ties by name)."""
+    wanted = F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target")
+    first = rows.select(model, step, pc, wanted).where(F.col(pc) >= F.col("target")).groupBy(model, "target").agg(F.min(step).alias("_at"))
+    met = rows.join(first, model).where(F.col(step) == F.col("_at")).groupBy("target", model).agg(F.round(F.avg(pc), 6).alias("value"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), model))
+    met = met.select(F.lit("calibrated").alias("chart"), "target", model, "value", place("target").alias("place"))
+    other = rows.groupBy(model).agg(F.round(F.avg(rr), 6).alias("value")).select(F.lit("validation_rr").alias("chart"), F.lit(None).cast("double").alias("target"), model, "value")
+    return met.unionByName(other.withColumn("place", place("chart")))

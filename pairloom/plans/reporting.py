@@ -214,3 +214,12 @@ def derived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("id"))
     known = c.join(first, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").alias("id"), F.lit("original").alias("kind"))
     return known.unionByName(first.select("id", F.lit("derived").alias("kind")))
+
+
+@query(f"""WITH {RUNS}, t AS (SELECT model, x AS target, min(split) FILTER (pc >= x) AS met_at FROM r CROSS JOIN (SELECT unnest([0.945, 0.95]::DOUBLE[]) AS x) g GROUP BY ALL)
+SELECT 'calibrated' AS chart, target, model, round(avg(r.pc), 6) AS value, row_number() OVER (PARTITION BY target ORDER BY round(avg(r.pc), 6) DESC, model) AS place FROM t JOIN r USING (model) WHERE split = met_at GROUP BY target, model
+UNION ALL SELECT 'validation_rr', NULL, model, round(avg(rr), 6), row_number() OVER (ORDER BY round(avg(rr), 6) DESC, model) FROM r GROUP BY model""")
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of completeness at the first split that reaches each target, and of reduction, best first, ties by name."""
+    rows = metric_rows(spark, sf_dir)
+    return runs.bars(rows, "model", "split", "pc", "rr", [0.945, 0.95])

@@ -51,7 +51,7 @@ f AS (SELECT k, sum(n) AS n, sum(tp) AS tp, count(*) FILTER (n > 0) AS cov, avg(
 SELECT k, n::BIGINT AS candidate_pairs, tp::BIGINT AS true_positives, (n - tp)::BIGINT AS false_positives, (positives - tp)::BIGINT AS false_negatives, {POOLED},
   round(mp, 6) AS macro_precision, round(mr, 6) AS macro_recall, round(f05, 6) AS macro_f05, round(f1, 6) AS macro_f1, round(f2, 6) AS macro_f2 FROM f CROSS JOIN tot""")
 def topk_blocking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the k nearest, for each k."""
+    """Metrics of the k nearest, for each k."""
     ranked = similarity.ranked(all_pairs(spark, sf_dir, top=max(KS)), max(KS))
     return metrics.top_k_metrics(ranked, counts(spark, sf_dir), KS)
 
@@ -277,7 +277,7 @@ def image_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x)))) AS not_finite,
   count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1.1e-4) AS not_unit FROM embeddings""")
 def descriptor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether vectors are of one size, finite and of unit length."""
+    """Whether vectors are of one size, finite and of unit length."""
     return vector_report(table(spark, sf_dir, "embeddings"), "embedding", 64)
 
 
