@@ -26,7 +26,7 @@ LEAST, MOST = 0.001, 0.1
 #: Lengths in code points from which a text is of the next class; classes count from 2.
 CLASSES = (1_024, 8_192, 65_536, 524_288, 4_194_304, 33_554_432)
 #: Ids are cut at so many percentiles, and those ranges evenly into at most so many each of about ROWS documents.
-CUTS, PARTS, ROWS = 256, 256, 500
+CUTS, PARTS, ROWS = 256, 4096, 500
 FIRST = -(1 << 63)
 
 
