@@ -2,10 +2,10 @@
 
 The lexicon is the terms whose document frequency lies in a band, neither rare nor common. It is split at random, by
 hash, into many small lexicons; the hash of a document's sorted distinct terms in one of them is one entry of its
-fingerprint. Two texts share an entry when they agree on every term of that small lexicon. Long texts need
-smaller lexicons than short ones for that to say anything, so a fingerprint has two families of SLOTS lexicons: each
-lexicon of family c holds one in 8**c of the terms, and texts of length class c use the families c and c + 1; texts of
-neighbouring classes have a family in common.
+fingerprint. Two texts share an entry when they agree on every term of that small lexicon. Texts of many distinct terms
+need smaller lexicons than texts of few for that to say anything, so a fingerprint has two families of SLOTS lexicons: each
+lexicon of family c holds one in 8**c of the terms, and texts of class c, by their distinct terms, use the families c and
+c + 1; texts of neighbouring classes have a family in common.
 
 Neighbours in id order meet without a global sort: ids fall into ranges cut at approximate percentiles, and the first
 document of a range also goes, as a ghost, to the range before (of the first range, to the last).
@@ -23,8 +23,8 @@ from .shared import small, written
 SLOTS = 64
 #: The band, as shares of all documents; a term must be in two documents at least.
 LEAST, MOST = 0.001, 0.1
-#: Lengths in code points from which a text is of the next class; classes count from 2.
-CLASSES = (1_024, 8_192, 65_536, 524_288, 4_194_304, 33_554_432)
+#: Numbers of distinct terms from which a text is of the next class; classes count from 2.
+CLASSES = (128, 1_024, 8_192, 65_536, 524_288, 4_194_304)
 #: Ids are cut at so many percentiles, and those ranges evenly into at most so many each of about ROWS documents.
 CUTS, PARTS, ROWS = 256, 4096, 500
 FIRST = -(1 << 63)
@@ -84,8 +84,8 @@ def _edited() -> Column:
     return F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))
 
 
-def _class(text: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.char_length(text) >= c, 1).otherwise(0) for c in CLASSES]) + 2
+def _class(terms: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(F.size(terms) >= c, 1).otherwise(0) for c in CLASSES]) + 2
 
 
 def _entries(terms: Column, family: Column) -> Column:
@@ -105,7 +105,7 @@ def fingerprints(rows: DataFrame, band: DataFrame) -> DataFrame:
     lexicon ``band``, a written table, is broadcast if it is small() and otherwise joined by a shuffle."""
     texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.when(~F.col("ghost"), _edited()).alias("t")))
     each = rows.select("range", "rn", F.explode(texts).alias("e")).select("range", "rn", "e.kind", "e.t").where("t is not null")
-    each = each.select("range", "rn", "kind", _class(F.col("t")).alias("c"), term_hashes(F.col("t")).alias("hs"))
+    each = each.select("range", "rn", "kind", term_hashes(F.col("t")).alias("hs")).withColumn("c", _class(F.col("hs")))
     size = F.pow(F.lit(8.0), F.col("c")).cast("long")
     each = each.select("range", "rn", "kind", "c", size.alias("m"), "hs")
     used = F.filter(F.zip_with("hs", F.array_repeat(F.col("m") - 1, F.size("hs")), lambda h, m: F.when(h.bitwiseAND(m) < SLOTS, h)), lambda h: h.isNotNull())

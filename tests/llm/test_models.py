@@ -49,7 +49,7 @@ def plain_prints(texts: list[str], spark) -> list[set]:
     band = {w for w, k in df.items() if k >= 2 and max(2, imatch.LEAST * n) <= k <= max(2, imatch.MOST * n)}
     out = []
     for t, ws in zip(texts, terms):
-        c = 2 + sum(len(t) >= least for least in imatch.CLASSES)
+        c = 2 + sum(len(ws) >= least for least in imatch.CLASSES)
         groups: dict = {}
         for w in ws:
             h = hashed[w]
