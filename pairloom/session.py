@@ -60,7 +60,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once a Spark context, and keep their batches small; operators with
     Python code call it."""
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(bound).rstrip("b")) > BATCH_BYTES:
+    if spark.conf.get(bound, None) is None:  # a session's own setting stays
         spark.conf.set(bound, f"{BATCH_BYTES}b")
     context = spark.sparkContext
     if getattr(context, "_pairloom_shipped", False):
