@@ -407,8 +407,8 @@ def long_pairs(blocks: DataFrame, sets: Sets) -> DataFrame:
     return found
 
 
-#: Times that stars with other centres are tried on blocks that are still open; what they leave is for the trees.
-STARS = 2
+#: Times that stars with other centres are tried on blocks that are still open.
+STARS = 3
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
