@@ -69,14 +69,15 @@ def decided(pairs: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame
     return pairs.join(decisions, key, "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
 
 
-def review_queue(candidates: DataFrame, outcomes: DataFrame, images: DataFrame, include_all: bool = False) -> DataFrame:
+def review_queue(candidates: DataFrame, outcomes: DataFrame, images: DataFrame, include_all: bool = False, others: DataFrame | None = None) -> DataFrame:
     """Verified pairs worth a review, with both images: status ok, and positive, or of equal content, or ``include_all``.
 
-    candidates (a, b, score, same), outcomes (a, b, status, prediction), images (id, name); best score first.
+    candidates (a, b, score, same), outcomes (a, b, status, prediction), images (id, name). Where a and b are of two sets whose
+    ids may meet, ``images`` are those of a and ``others`` those of b.
     """
     worth = (F.col("status") == "ok") & (F.lit(include_all) | F.col("same") | (F.col("prediction") == 1))
     one = images.select(F.col("id").alias("a"), F.col("name").alias("a_name"))
-    two = images.select(F.col("id").alias("b"), F.col("name").alias("b_name"))
+    two = (images if others is None else others).select(F.col("id").alias("b"), F.col("name").alias("b_name"))
     return candidates.join(outcomes, ["a", "b"]).where(worth).join(one, "a").join(two, "b").select("a", "b", "a_name", "b_name", "score", "same", "prediction")
 
 
