@@ -22,10 +22,13 @@ GENERIC_TITLE = (
 )
 
 
-def pair_id(a_id: Column, a_sha: Column, b_id: Column, b_sha: Column) -> Column:
-    """sha256 of both ids and contents, smaller id first, joined by NUL. A pair of an id with itself is an error."""
+def pair_id(a_id: Column, a_sha: Column, b_id: Column, b_sha: Column, two_sets: bool = False) -> Column:
+    """sha256 of both ids and contents, smaller id first, joined by NUL. A pair of an id with itself is an error, but for ends
+    of ``two_sets``, which may use the same ids."""
     first = a_id < b_id
     text = F.when(first, F.concat_ws("\0", a_id, a_sha, b_id, b_sha)).otherwise(F.concat_ws("\0", b_id, b_sha, a_id, a_sha))
+    if two_sets:
+        return F.sha2(text, 256)
     return F.when(a_id == b_id, F.raise_error(F.lit("a pair needs two different ids"))).otherwise(F.sha2(text, 256))
 
 
