@@ -15,6 +15,13 @@ def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.join(right.select(F.col("id").alias("b"), "norm"), "norm").select("a", "b")
 
 
+def title_pair_counts(rows: DataFrame) -> DataFrame:
+    """For each title of (id, norm) that isn't empty its pairs of different ids, the smaller one first: norm, pairs. They come
+    from the sizes of titles, less the pairs of rows that repeat an id; no pair is made."""
+    per = rows.where("norm <> '' and id is not null").groupBy("norm", "id").agg(F.count(F.lit(1)).alias("m"))
+    return per.groupBy("norm").agg(F.expr("(sum(m) * sum(m) - sum(m * m)) div 2").alias("pairs")).where("pairs > 0")
+
+
 def distinct_titles(rows: DataFrame) -> DataFrame:
     """Of (id, norm): a row for each title that isn't empty: norm, words (its token set), n (rows that have it). However often
     a title comes, it is compared once."""
