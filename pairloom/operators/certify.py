@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import found_by_class
 from .ordering import numbered
 
 
 def class_losses(view: DataFrame, budgets: list[int]) -> DataFrame:
     """For each budget k and class, one minus the share of its true pairs within rank k."""
-    per = view.groupBy("query_class").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in budgets])
+    per = found_by_class(view, budgets)
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("found")) for k in budgets])).alias("g")
     return per.select("query_class", "n", grid).select("query_class", F.col("g.k").alias("k"), (1 - F.col("g.found") / F.col("n")).alias("loss"))
 
@@ -69,7 +70,7 @@ def concentration(rows: DataFrame, key: str) -> DataFrame:
 
 def without_largest(view: DataFrame, k: int) -> DataFrame:
     """Completeness at k pooled, without the class of most true pairs (ties: the smallest), and of that class alone."""
-    per = view.groupBy("query_class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") <= k).alias("found"))
+    per = found_by_class(view, [k]).withColumnRenamed(f"n{k}", "found")
     largest = per.agg(F.max(F.struct("n", (-F.col("query_class")).alias("c"), "found")).alias("x"), F.sum("n").alias("n"), F.sum("found").alias("found"))
     n, found = F.col("n") - F.col("x.n"), F.col("found") - F.col("x.found")
     return largest.select((-F.col("x.c")).alias("largest_class"), F.round(F.col("found") / F.col("n"), 6).alias("pooled_pc"), F.round(found / n, 6).alias("pc_without"), F.round(F.col("x.found") / F.col("x.n"), 6).alias("pc_of_largest"))

@@ -38,3 +38,50 @@ def meeting(spark, tmp_path, small):
 
 def test_review_queue_of_two_kinds_of_ids(spark, tmp_path, small):
     agrees(spark, meeting(spark, tmp_path, small), "review_queue")
+
+
+def close_vectors(spark):
+    """Ninety vectors with many equal scores."""
+    import random
+
+    rnd, rows = random.Random(7), []
+    for k in range(90):
+        v = [rnd.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(3)]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append((k, k % 7, [x / n for x in v]))
+    return spark.createDataFrame(rows, "id long, class long, vector array<double>")
+
+
+def test_counts_in_the_task_are_those_of_all_pairs(spark, monkeypatch):
+    from pairloom.operators import certify, metrics, pairs, similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    monkeypatch.setattr(similarity, "RANK_BINS", 8)
+    v = close_vectors(spark)
+    every = similarity.similarity_pairs(v, v).cache()
+    ranked, counts = similarity.ranked(every).cache(), metrics.class_counts(v, v)
+    view = metrics.rank_view(ranked).cache()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    top = similarity.top_counts(v, v, [3, 50]).cache()
+    assert same(metrics.top_k_metrics(ranked, counts, [3, 50]), metrics.top_k_metrics(top, counts, [3, 50]))
+    assert same(metrics.identity_completeness(view, [3, 50]), metrics.identity_completeness(top, [3, 50]))
+    assert same(certify.class_losses(view, [3, 50]), certify.class_losses(top, [3, 50]))
+    assert same(certify.without_largest(view, 3), certify.without_largest(similarity.top_counts(v, v, [3]), 3))
+    assert same(metrics.misses(view, 3, 5), metrics.misses(similarity.top_counts(v, v, [3]), 3, 5))
+    assert same(metrics.smallest_k(view, [0.0, 0.1, 0.5, 0.9, 1.0, 1.5]), metrics.joined_smallest_k(v, v, [0.0, 0.1, 0.5, 0.9, 1.0, 1.5]))
+    assert same(metrics.threshold_metrics(every, counts, [0.5, 0.99], floor=4), metrics.threshold_metrics(similarity.score_counts(v, v, [0.5, 0.99], floor=4), counts, [0.5, 0.99], floor=4))
+    rule = similarity.candidates_by_rule(every, 0.98, 3)
+    assert same(rule, similarity.candidates_by_rule(similarity.by_rule(v, v, 0.98, 3), 0.98, 3))
+    assert same(metrics.retrieval_summary(rule), metrics.retrieval_summary(similarity.rule_counts(v, v, 0.98, 3)))
+    assert similarity.reaching(v, v, 0.98).first()["n"] == pairs.merge_directed(rule).where("reasons like '%threshold%'").count()
+    assert same(similarity.neighbours(every, 0.9999, 5, 0.9), similarity.neighbours(similarity.nearest(v, v, 5, least=0.9), 0.9999, 5, 0.9))
+
+
+def test_no_row_is_sent_for_each_block(spark, monkeypatch):
+    from pairloom.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    v = close_vectors(spark)
+    for rows in (similarity.top_counts(v, v, [3]), similarity.score_counts(v, v, [0.5]), similarity.nearest_negatives(v, v, 3)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapGroups" not in plan
