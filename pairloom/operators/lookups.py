@@ -134,8 +134,10 @@ def unique_stems(rows: DataFrame) -> DataFrame:
     """
     own = rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id")))
     stem = rows.select(F.regexp_extract("name", r"^(.*)_(\d{3,})$", 1).alias("name"), F.regexp_extract("name", r"_(\d{3,})$", 1).alias("digits")).where("name <> '' and digits <> ''")
-    taken = stem.where(F.col("digits") == F.lpad(F.col("digits").cast("int").cast("string"), 3, "0")).groupBy("name").agg(F.array_sort(F.collect_set(F.col("digits").cast("int"))).alias("taken"))
+    number = F.col("digits").try_cast("long")  # null beyond all numbers that are given
+    padded = lambda n: F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), "0")  # noqa: E731  lpad alone cuts 1000 to 100
+    taken = stem.where(F.col("digits") == padded(number)).groupBy("name").agg(F.array_sort(F.collect_set(number)).alias("taken"))
     # the number of the k-th repeat (k = 2, 3, ...) is k plus the taken numbers from 2 on that come no later
     step = lambda n, t: F.when((t >= 2) & (t <= n), n + 1).otherwise(n)
     numbered = own.join(taken, "name", "left").withColumn("n", F.when(F.col("taken").isNull() | (F.col("k") == 1), F.col("k")).otherwise(F.aggregate("taken", F.col("k"), step)))
-    return numbered.select("id", "name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.lpad(F.col("n").cast("string"), 3, "0"))).alias("unique_name"))
+    return numbered.select("id", "name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), padded(F.col("n")))).alias("unique_name"))

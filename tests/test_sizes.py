@@ -85,3 +85,13 @@ def test_no_row_is_sent_for_each_block(spark, monkeypatch):
     for rows in (similarity.top_counts(v, v, [3]), similarity.score_counts(v, v, [0.5]), similarity.nearest_negatives(v, v, 3)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapGroups" not in plan
+
+
+def test_numbers_of_four_digits(spark):
+    from pairloom.operators import lookups
+
+    rows = [(k, "x") for k in range(1, 1103)] + [(2000, "x_1000"), (2001, "x_99999999999999999999999")]
+    named = lookups.unique_stems(spark.createDataFrame(rows, "id long, name string"))
+    got = {r["id"]: r["unique_name"] for r in named.collect()}
+    assert len(set(got.values())) == len(rows)
+    assert got[1] == "x" and got[2] == "x_002" and got[999] == "x_999" and got[1000] == "x_1001" and got[2000] == "x_1000"
