@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -115,24 +117,63 @@ def paged_scan(spark: SparkSession, fetch: Callable[[int], list[dict]], pages: i
     return got.withColumn("_n", first).where("_n = 1").drop("_n", "_page")
 
 
+#: Most halvings that range_plan counts at a time: at most 2 ** HALVINGS rows come to the driver.
+HALVINGS = 14
+
+
 def range_plan(ids: DataFrame, column: str, most: int) -> list[tuple[int, int, int]]:
-    """Ranges [low, high) of ids with at most ``most`` rows each, empty ones left out: halves of halves, each round one
-    count over all ranges still too large."""
-    edge = ids.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("n")).first()
+    """Ranges [low, high) of ids with at most ``most`` rows each, empty ones left out: halves of halves. A round counts the ids
+    of all ranges still too large by the range that they are in after several halvings; ranges between are sums of these."""
+    id_ = F.col(column).cast("long")
+    edge = ids.agg(F.min(id_).alias("a"), F.max(id_).alias("b"), F.count(id_).alias("n")).first()
     if not edge["n"]:
         return []
+    rows = ids.where(id_.isNotNull()).select(id_.alias("id"), F.lit(edge["a"]).cast("long").alias("low"), F.lit(edge["b"] + 1).cast("long").alias("high"))
     todo, done = [(edge["a"], edge["b"] + 1, edge["n"])], []
+
+    def halved(depth: int):
+        def step(at, _):
+            middle = at["low"] + F.shiftright(at["high"] - at["low"], 1)
+            lower, upper = F.struct(at["low"].alias("low"), middle.alias("high")), F.struct(middle.alias("low"), at["high"].alias("high"))
+            return F.when(at["high"] - at["low"] <= 1, at).when(F.col("id") < middle, lower).otherwise(upper)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct("low", "high"), step)
+
     while todo:
+        done += [r for r in todo if r[2] <= most or r[1] - r[0] <= 1]
         large = [r for r in todo if r[2] > most and r[1] - r[0] > 1]
-        done += [r for r in todo if r not in large]
-        halves = [h for a, b, _ in large for h in ((a, (a + b) // 2), ((a + b) // 2, b))]
-        if not halves:
+        if not large:
             break
-        counts = ids.agg(*[F.count_if((F.col(column) >= a) & (F.col(column) < b)).alias(str(k)) for k, (a, b) in enumerate(halves)]).first()
-        todo = [(a, b, counts[k]) for k, (a, b) in enumerate(halves) if counts[k]]
+        depth = max(1, min(HALVINGS - (len(large) - 1).bit_length(), (max(r[2] for r in large) // most).bit_length() + 1))
+        wanted = F.broadcast(ids.sparkSession.createDataFrame([r[:2] for r in large], "low long, high long"))
+        rows = rows.join(wanted, ["low", "high"]).select("id", halved(depth).alias("at")).select("id", "at.*")
+        leaves = sorted(tuple(r) for r in rows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).collect())
+        lows, sums = [r[0] for r in leaves], [0, *itertools.accumulate(r[2] for r in leaves)]
+        todo, inner = [], [(a, b, n, 0) for a, b, n in large]
+        while inner:
+            a, b, n, k = inner.pop()
+            if n <= most or b - a <= 1 or k == depth:
+                todo.append((a, b, n))
+            else:
+                middle = (a + b) // 2
+                parts = ((x, y, sums[bisect.bisect_left(lows, y)] - sums[bisect.bisect_left(lows, x)], k + 1) for x, y in ((a, middle), (middle, b)))
+                inner += [p for p in parts if p[2]]
     return sorted(done)
 
 
+def range_of(id_: Column, plan: list[tuple[int, int, int]]) -> Column:
+    """The low end of the range of range_plan that an id is in, by halving the list of ranges; for ids that the plan was made of."""
+    lows = F.split(F.lit(",".join(str(r[0]) for r in plan)), ",").cast("array<bigint>")  # folded to a constant
+
+    def step(at, _):
+        middle = F.shiftright(at["first"] + at["last"] + 1, 1)
+        upper, lower = F.struct(middle.alias("first"), at["last"].alias("last")), F.struct(at["first"].alias("first"), (middle - 1).alias("last"))
+        return F.when(at["first"] == at["last"], at).when(F.get(lows, middle) <= id_, upper).otherwise(lower)
+
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(len(plan).bit_length())), F.struct(F.lit(0).alias("first"), F.lit(len(plan) - 1).alias("last")), step)
+    return F.get(lows, place["first"])
+
+
 def read_split(spark: SparkSession, text: str) -> DataFrame:
     """A split document (schema_version 2) as rows (subset, role, file_id, class_id), checked."""
     split = json.loads(text)

@@ -95,3 +95,28 @@ def test_numbers_of_four_digits(spark):
     got = {r["id"]: r["unique_name"] for r in named.collect()}
     assert len(set(got.values())) == len(rows)
     assert got[1] == "x" and got[2] == "x_002" and got[999] == "x_999" and got[1000] == "x_1001" and got[2000] == "x_1000"
+
+
+def halves(ids, a, b, most):
+    inside = [x for x in ids if a <= x < b]
+    if not inside:
+        return []
+    if len(inside) <= most or b - a <= 1:
+        return [(a, b, len(inside))]
+    return halves(inside, a, (a + b) // 2, most) + halves(inside, (a + b) // 2, b, most)
+
+
+def test_ranges_of_uneven_ids(spark, monkeypatch):
+    import random
+
+    from pairloom.sources import manifests
+
+    rnd = random.Random(3)
+    ids = sorted({rnd.randrange(-(10**5), 10**5) for _ in range(500)} | {10**12 + k for k in range(300)}) + [7] * 40
+    frame = spark.createDataFrame([(x,) for x in ids], "id long")
+    for halvings in (7, 14):
+        monkeypatch.setattr(manifests, "HALVINGS", halvings)
+        assert manifests.range_plan(frame, "id", 25) == halves(ids, min(ids), max(ids) + 1, 25)
+    plan = halves(ids, min(ids), max(ids) + 1, 25)
+    low = {x: next(a for a, b, _ in plan if a <= x < b) for x in ids}
+    assert {r["id"]: r["low"] for r in frame.withColumn("low", manifests.range_of(frame["id"], plan)).collect()} == low
