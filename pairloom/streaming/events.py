@@ -17,11 +17,18 @@ def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def run_to_end(rows: DataFrame, mode: str) -> DataFrame:
-    """All that a streaming query gives for what is there now, as a table; state is checkpointed in the shared folder."""
-    spark, name = rows.sparkSession, f"stream_{uuid.uuid4().hex}"
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/pairloom/{name}").trigger(availableNow=True).start()
+    """All that a streaming query gives for what is there now, as a table in the shared folder, where state is checkpointed too:
+    a sink in memory would have every row in the driver. In the mode ``complete`` a batch has all rows and takes the place of
+    the one before."""
+    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/pairloom/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{folder}/rows")  # where no batch ran
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 def window_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:

@@ -120,3 +120,12 @@ def test_ranges_of_uneven_ids(spark, monkeypatch):
     plan = halves(ids, min(ids), max(ids) + 1, 25)
     low = {x: next(a for a, b, _ in plan if a <= x < b) for x in ids}
     assert {r["id"]: r["low"] for r in frame.withColumn("low", manifests.range_of(frame["id"], plan)).collect()} == low
+
+
+def test_stream_gives_rows_by_a_table(spark, small):
+    """No sink in the driver's memory."""
+    from pairloom.streaming import events
+
+    got = events.run_to_end(events.sessions(events.stream_of(spark, small, "events.parquet"), "30 minutes"), "complete")
+    assert "FileScan" in got._jdf.queryExecution().executedPlan().toString().replace("Scan parquet", "FileScan")
+    assert got.count() > 0
