@@ -158,28 +158,69 @@ def severity(transforms: Column) -> tuple[Column, Column]:
     return score, F.when(score >= 0.72, "extreme").when(score >= 0.50, "hard").when(score >= 0.25, "medium").otherwise("mild")
 
 
+#: Partners that greedy_boxes keeps of a box.
+NEXT = 64
+
+
 def greedy_boxes(boxes: DataFrame, least: float) -> DataFrame:
     """One-to-one matches of found to true boxes in each scene, by falling overlap: (scene, found, id, x0, y0, x1, y1) to
-    scene, found_id, true_id, iou. Each choice rules out others, so a scene is matched in one task."""
+    scene, found_id, true_id, iou. Each choice rules out others, so a scene is matched in one task, but never with all its
+    pairs: each box of the smaller side has its next NEXT partners, and looks for more when these are taken."""
+    import heapq
+
+    import numpy as np
     import pandas as pd
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        found, true = [r for r in rows if r["found"]], [r for r in rows if not r["found"]]
-        scored = []
-        for f in found:
-            for t in true:
-                w, h = min(f["x1"], t["x1"]) - max(f["x0"], t["x0"]), min(f["y1"], t["y1"]) - max(f["y0"], t["y0"])
-                inter = max(0.0, w) * max(0.0, h)
-                union = (f["x1"] - f["x0"]) * (f["y1"] - f["y0"]) + (t["x1"] - t["x0"]) * (t["y1"] - t["y0"]) - inter
-                if union > 0 and inter / union >= least:
-                    scored.append((-inter / union, f["id"], t["id"]))
-        used_f, used_t, out = set(), set(), []
-        for iou, f, t in sorted(scored):
-            if f not in used_f and t not in used_t:
-                used_f.add(f)
-                used_t.add(t)
-                out.append((rows[0]["scene"], f, t, round(-iou, 6)))
+        sides = [pdf[pdf["found"] == k] for k in (True, False)]
+        owner = 0 if len(sides[0]) < len(sides[1]) else 1  # 0: found boxes choose, 1: true ones
+        ids, other_ids = (sides[k]["id"].to_numpy() for k in (owner, 1 - owner))
+        mine, other = (sides[k][["x0", "y0", "x1", "y1"]].to_numpy(float).T for k in (owner, 1 - owner))
+        size, other_size = ((b[2] - b[0]) * (b[3] - b[1]) for b in (mine, other))
+        free, used, out = np.ones(len(other_ids), bool), set(), []
+        _, person = np.unique(other_ids, return_inverse=True)  # rows of one id are taken together
+        rows_of = np.split(np.argsort(person, kind="stable"), np.cumsum(np.bincount(person))[:-1]) if len(other_ids) else []
+
+        def partners(k: int) -> tuple:
+            """The next partners of box k among the free ones, the best one first, with their overlaps."""
+            w = np.minimum(mine[2][k], other[2]) - np.maximum(mine[0][k], other[0])
+            h = np.minimum(mine[3][k], other[3]) - np.maximum(mine[1][k], other[1])
+            inter = np.maximum(0.0, w) * np.maximum(0.0, h)
+            union = (size[k] + other_size if owner == 0 else other_size + size[k]) - inter
+            iou = np.divide(inter, union, out=np.full(len(union), -1.0), where=(union > 0) & free)
+            at = np.flatnonzero((iou >= least) & (union > 0) & free)
+            if len(at) > NEXT:
+                last = np.partition(iou[at], -NEXT)[-NEXT]
+                above, tied = at[iou[at] > last], at[iou[at] == last]
+                tied = tied[np.argsort(other_ids[tied], kind="stable")][: NEXT - len(above)]
+                at = np.concatenate([above, tied])
+            at = at[np.lexsort((other_ids[at], -iou[at]))]
+            return at.astype(np.int32), iou[at]
+
+        held, heap = {}, []
+
+        def push(k: int) -> None:
+            left = np.flatnonzero(free[held[k][0]]) if k in held else ()
+            if not len(left):
+                held[k], left = partners(k), (0,)
+            if len(held[k][0]):
+                x = int(held[k][0][left[0]])
+                pair = (int(ids[k]), int(other_ids[x]))
+                heapq.heappush(heap, (-float(held[k][1][left[0]]), *(pair if owner == 0 else pair[::-1]), k, x))
+
+        for k in range(len(ids)):
+            push(k)
+        while heap:
+            iou, f, t, k, x = heapq.heappop(heap)
+            if ids[k] in used:
+                continue
+            if not free[x]:
+                push(k)
+                continue
+            used.add(ids[k])
+            free[rows_of[person[x]]] = False
+            del held[k]
+            out.append((pdf["scene"].iloc[0], f, t, round(-iou, 6)))
         return pd.DataFrame(out, columns=["scene", "found_id", "true_id", "iou"])
 
     return boxes.groupBy("scene").applyInPandas(match, "scene long, found_id long, true_id long, iou double")

@@ -129,3 +129,25 @@ def test_stream_gives_rows_by_a_table(spark, small):
     got = events.run_to_end(events.sessions(events.stream_of(spark, small, "events.parquet"), "30 minutes"), "complete")
     assert "FileScan" in got._jdf.queryExecution().executedPlan().toString().replace("Scan parquet", "FileScan")
     assert got.count() > 0
+
+
+def test_boxes_by_few_partners(spark, monkeypatch):
+    import random
+
+    from pairloom.operators import protocol
+
+    monkeypatch.setattr(protocol, "NEXT", 2)
+    for seed, (found, true) in enumerate(((60, 15), (15, 60), (40, 40))):
+        rnd, rows = random.Random(seed), []
+        for side, n in ((True, found), (False, true)):
+            rows += [(1, side, k, float(x), float(y), x + 4.0, y + 3.0) for k in range(n) for x, y in [(rnd.randrange(6), rnd.randrange(3))]]
+        rows += [(1, True, 3, 1.0, 1.0, 5.0, 4.0)]  # an id twice
+        scored = sorted((-i / (f_ + t_ - i), f[2], t[2]) for f in rows if f[1] for t in rows if not t[1] for i in [max(0.0, min(f[5], t[5]) - max(f[3], t[3])) * max(0.0, min(f[6], t[6]) - max(f[4], t[4]))] for f_, t_ in [((f[5] - f[3]) * (f[6] - f[4]), (t[5] - t[3]) * (t[6] - t[4]))] if i / (f_ + t_ - i) >= 0.2)
+        want, fs, ts = set(), set(), set()
+        for iou, f, t in scored:
+            if f not in fs and t not in ts:
+                fs.add(f)
+                ts.add(t)
+                want.add((f, t, round(-iou, 6)))
+        boxes = spark.createDataFrame(rows, "scene long, found boolean, id long, x0 double, y0 double, x1 double, y1 double")
+        assert {tuple(r)[1:] for r in protocol.greedy_boxes(boxes, 0.2).collect()} == want
