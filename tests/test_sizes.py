@@ -151,3 +151,31 @@ def test_boxes_by_few_partners(spark, monkeypatch):
                 want.add((f, t, round(-iou, 6)))
         boxes = spark.createDataFrame(rows, "scene long, found boolean, id long, x0 double, y0 double, x1 double, y1 double")
         assert {tuple(r)[1:] for r in protocol.greedy_boxes(boxes, 0.2).collect()} == want
+
+
+def test_vectors_are_not_shuffled(spark, monkeypatch):
+    """Disk: one packed table, and shuffles of sums or of a few numbers a query."""
+    from pairloom.operators import metrics, similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    v = close_vectors(spark).cache()
+    made = []
+    monkeypatch.setattr(similarity, "written", lambda df, name, *how, own=similarity.written: made.append(own(df, name, *how)) or made[-1])
+    frames = similarity.top_counts(v, v, [3]), similarity.nearest_negatives(v, v, 3), similarity.nearest(v, v, 3), similarity.score_bins(v, v, metrics.quantile_bin()), similarity.rule_counts(v, v, 0.9, 3), similarity.reason_counts(v, 0.9, 3)
+    assert len(made) == len(frames)
+    for rows in frames:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Sort " not in plan
+        assert rows.count() > 0
+
+
+def test_bins_of_many_blocks_in_a_task(spark, monkeypatch):
+    from pairloom.operators import metrics, similarity
+
+    v = close_vectors(spark).repartition(5).cache()
+    bin_of, got = metrics.histogram_bin(40), []
+    for block, queries, most in ((2048, 512, 1 << 14), (8, 4, 24), (16, 8, 64), (64, 16, 32)):
+        for name, x in (("BLOCK", block), ("QUERIES", queries), ("SHARED", most)):
+            monkeypatch.setattr(similarity, name, x)
+        got.append(sorted(map(tuple, similarity.score_bins(v, v, bin_of).collect())))
+    assert all(x == got[0] for x in got) and sum(r[1] for r in got[0]) == 90 * 89
