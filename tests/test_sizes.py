@@ -159,9 +159,10 @@ def test_vectors_are_not_shuffled(spark, monkeypatch):
 
     monkeypatch.setattr(similarity, "BLOCK", 32)
     v = close_vectors(spark).cache()
+    p = v.selectExpr("*", "case id % 3 when 0 then 'a' when 1 then 'b' end as profile")
     made = []
     monkeypatch.setattr(similarity, "written", lambda df, name, *how, own=similarity.written: made.append(own(df, name, *how)) or made[-1])
-    frames = similarity.top_counts(v, v, [3]), similarity.nearest_negatives(v, v, 3), similarity.nearest(v, v, 3), similarity.score_bins(v, v, metrics.quantile_bin()), similarity.rule_counts(v, v, 0.9, 3), similarity.reason_counts(v, 0.9, 3)
+    frames = similarity.top_counts(v, v, [3]), similarity.nearest_negatives(v, v, 3), similarity.nearest(v, v, 3), similarity.score_bins(v, v, metrics.quantile_bin()), similarity.rule_counts(v, v, 0.9, 3), similarity.reason_counts(v, 0.9, 3), metrics.profile_diagnostics(p, p, ["a", "b"], [3], [0.9])
     assert len(made) == len(frames)
     for rows in frames:
         plan = rows._jdf.queryExecution().executedPlan().toString()
