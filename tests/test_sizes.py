@@ -170,6 +170,30 @@ def test_vectors_are_not_shuffled(spark, monkeypatch):
         assert rows.count() > 0
 
 
+def test_reasons_and_profiles_are_those_of_all_pairs(spark, monkeypatch):
+    from pairloom.operators import metrics, pairs, similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    v = close_vectors(spark).cache()
+    every = similarity.similarity_pairs(v, v).cache()
+    for least in (0.98, 2.0):
+        merged = pairs.merge_directed(similarity.candidates_by_rule(every, least, 3))
+        want = {r: n for r in ("threshold", "window") if (n := merged.where(f"reasons like '%{r}%'").count())}
+        assert {tuple(r) for r in similarity.reason_counts(v, least, 3).collect()} == set(want.items())
+    p = v.selectExpr("*", "case id % 4 when 0 then 'a' when 1 then 'b' when 2 then 'c' end as profile")
+    for queries, candidates in ((p, p), (v, p), (v.where("id % 2 = 0"), p.where("id % 5 > 0"))):
+        got = {(r["profile"], r["mode"], r["point"]): tuple(r)[3:] for r in metrics.profile_diagnostics(queries, candidates, ["b", "a", "none"], [3, 50], [0.9]).collect()}
+        assert {k[0] for k in got} == {"a", "b"} and len(got) == 6
+        for name in ("a", "b"):
+            own = candidates.where(f"profile = '{name}'").select("id", "class", "vector")
+            some, counts = similarity.similarity_pairs(queries.select("id", "class", "vector"), own).cache(), metrics.class_counts(queries.select("id", "class", "vector"), own)
+            kept = ["candidate_pairs", "true_positives", "pair_completeness", "pair_quality", "reduction_ratio"]
+            for r in metrics.top_k_metrics(similarity.ranked(some), counts, [3, 50]).select("k", *kept).collect():
+                assert got[name, "top_k", float(r["k"])] == tuple(r)[1:]
+            for r in metrics.threshold_metrics(some, counts, [0.9]).select("threshold", *kept).collect():
+                assert got[name, "calibrated_threshold", r["threshold"]] == tuple(r)[1:]
+
+
 def test_bins_of_many_blocks_in_a_task(spark, monkeypatch):
     from pairloom.operators import metrics, similarity
 
