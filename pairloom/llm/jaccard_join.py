@@ -14,7 +14,9 @@ different sets is lost, and only classes that the links would give anyway save w
    neighbourhood, which is cut into tiles; each pair of tiles is searched by two signature trees, whose nodes hold size
    ranges and the OR of their sets' bitmaps: a pair of nodes is left when the largest possible overlap of any two of
    their sets is too small. A pair that meets in several neighbourhoods is given by the first.
-5. Pairs that went on are compared exactly; their links join the components.
+5. Pairs that went on are compared exactly; their links join the components. Of the pairs that trees leave, a set gives one of
+   each tile first: in a group of near copies its link saves all others. Sets with pairs left out are searched again, now of the
+   components that these links gave, for 4, 16 and 64 pairs, and at last for all, so that no pair of different components is lost.
 
 A document's whole set is written once, when a pair first needs it.
 """
@@ -356,22 +358,41 @@ def tile_pairs(n: np.ndarray, bits: list[bytes], side: np.ndarray) -> tuple[np.n
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def long_pairs(blocks: DataFrame, sets: Sets) -> DataFrame:
-    """Of the long blocks: pairs of different components that signature trees can't tell apart.
+def neighbourhoods(blocks: DataFrame) -> DataFrame:
+    """Of the long blocks, a written table (c, id, n, comp) of the sets of each neighbourhood, c being its centre."""
+    rows = blocks.where(F.col("df") > LONG).select("h", "id", "n", "comp", "df")
+    centres = written(rows.groupBy("h").agg(F.min(F.xxhash64(F.lit(7), "id")).alias("c")), "centres")
+    near = written(rows.join(small(centres), "h").groupBy("c", "id", "n", "comp").agg(F.count(F.lit(1)).alias("m")).drop("m"), "near")
+    discard(centres)
+    return near
+
+
+def thinned(x: np.ndarray, y: np.ndarray, key: np.ndarray, odd: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs of places (x, y) are among the first ``most`` of their x: partners that aren't odd come first, then it
+    goes by ``key``."""
+    order = np.lexsort((key[y], odd[y], x))
+    n = np.bincount(x, minlength=len(key))
+    kept = np.zeros(len(x), bool)
+    kept[order] = np.arange(len(x)) - (np.cumsum(n) - n)[x[order]] < most
+    return kept
+
+
+def long_pairs(near: DataFrame, sets: Sets, most: int | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of the sets of neighbourhoods (c, id, n, comp): pairs of different components that signature trees can't tell apart. With
+    ``most``, at most so many for a set in each pair of tiles. The second table (id) has the ends of pairs that this left out;
+    given as ``only`` to the next call, with later components, none but pairs of them are searched.
 
     Blocks with the same centre, the smallest hash of an id, make one neighbourhood, so that a group of near copies, which
     has hundreds of shingles in common, is searched a few times and not hundreds of times. In a neighbourhood only sets
     outside the component of its smallest id are compared, to all others: tiles of these against tiles of all. A pair is
     given by the first neighbourhood that has both.
     """
-    rows = blocks.where(F.col("df") > LONG).select("h", "id", "n", "comp", "df")
-    centres = written(rows.groupBy("h").agg(F.min(F.xxhash64(F.lit(7), "id")).alias("c")), "centres")
-    near = written(rows.join(small(centres), "h").groupBy("c", "id", "n", "comp").agg(F.count(F.lit(1)).alias("m")).drop("m"), "near")
     about = written(near.groupBy("c").agg(F.min(F.struct("id", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")), "about")
-    odd = near.join(small(about), "c").where("comp <> main").groupBy("c").agg(F.count(F.lit(1)).alias("o"), F.sum("n").alias("v"))
+    near = near.withColumn("open", F.lit(True)) if only is None else near.join(small(only.withColumn("open", F.lit(True))), "id", "left").fillna(False, ["open"])
+    odd = near.join(small(about), "c").where("open and comp <> main").groupBy("c").agg(F.count(F.lit(1)).alias("o"), F.sum("n").alias("v"))
     tiles = lambda m, w: F.ceil(F.greatest(F.col(m) / TILE, F.col(w) / TILE_SHINGLES)).cast("int")
     plan = written(about.join(odd, "c").select("c", "main", tiles("o", "v").alias("ko"), tiles("m", "w").alias("km")), "plan")
-    rows = written(near.join(small(plan), "c"), "compared")
+    rows = compared = written(near.join(small(plan), "c"), "compared")
     ids = written(rows.groupBy("id").agg(F.when(F.count(F.lit(1)) <= LISTED, F.array_sort(F.collect_list("c"))).alias("cs")), "ids")
     names = written(ids.select("id"), "names")
 
@@ -383,7 +404,7 @@ def long_pairs(blocks: DataFrame, sets: Sets) -> DataFrame:
     rows = rows.join(ids.join(bits, "id"), "id")
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    strange = F.col("comp") != F.col("main")
+    strange = F.col("open") & (F.col("comp") != F.col("main"))
     as_left = F.transform(every("km"), lambda j: F.struct(own("ko").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     as_right = F.transform(every("ko"), lambda i: F.struct(i.alias("i"), own("km").alias("j"), F.lit(1).alias("side")))
     places = F.when(strange, F.concat(as_left, as_right)).otherwise(as_right)
@@ -399,14 +420,23 @@ def long_pairs(blocks: DataFrame, sets: Sets) -> DataFrame:
         lists = {k: cs[k] and set(cs[k]) for k in {*x.tolist(), *y.tolist()}}
         here = int(c[0]) if len(c) else 0
         first = np.array([not lists[u] or not lists[v] or min(lists[u] & lists[v]) == here for u, v in zip(x.tolist(), y.tolist())], bool)
-        a, b = ids[x][first], ids[y][first]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    found = written(rows.groupBy("c", "i", "j").applyInArrow(search, "a long, b long").distinct(), "candidates")
-    discard(centres, near, about, plan, ids, names)
-    return found
-
-
+        x, y = x[first], y[first]
+        kept = thinned(x, y, ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), odd_one, most) if most else np.ones(len(x), bool)
+        left = np.unique(np.concatenate([x[~kept], y[~kept][odd_one[y[~kept]]]]))
+        a, b = ids[x][kept], ids[y][kept]
+        none = lambda n: pa.nulls(n, pa.int64())
+        ends = zip((np.minimum(a, b), np.maximum(a, b)), (none(len(left)),) * 2)
+        return pa.table(dict(zip("ab", [pa.chunked_array([pa.array(u), v]) for u, v in ends])) | {"left": pa.chunked_array([none(len(a)), pa.array(ids[left])])})
+
+    found = written(rows.groupBy("c", "i", "j").applyInArrow(search, "a long, b long, left long"), "found")
+    pairs = written(found.where("left is null").select("a", "b").distinct(), "candidates")
+    left = written(found.where("left is not null").select(F.col("left").alias("id")).distinct(), "left-out")
+    discard(about, plan, compared, ids, names, found)
+    return pairs, left
+
+
+#: Pairs of a set in each pair of tiles, one search after the other; the last gives all.
+THINNED = (1, 4, 16, 64, None)
 #: Times that stars with other centres are tried on blocks that are still open.
 STARS = 3
 
@@ -455,19 +485,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comps = written(graph.components(reduce(DataFrame.union, links)), "comps")
     n_long = written(blocks.where(F.col("df") > LONG).groupBy("id").agg(F.count(F.lit(1)).alias("n_long")), "n-long")
     short = short_pairs(open_.join(small(n_long), "id", "left").fillna(0, ["n_long"]))
-    long_ = long_pairs(open_, sets)
-    found = verified(short.union(long_).distinct(), sets)
-    discard(n_long, long_, open_, blocks)
+    near, left = neighbourhoods(open_), None
+    for most in THINNED:
+        placed = near
+        if left is not None:
+            placed = near.join(small(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component") if comps is not None else near
+        old = left
+        long_, left = long_pairs(placed, sets, most, left)
+        found = verified((short.union(long_) if old is None else long_).distinct(), sets)
+        discard(old, long_)
+        if found.isEmpty():
+            discard(found)
+        else:
+            links.append(found)
+            discard(comps)
+            comps = written(graph.components(reduce(DataFrame.union, links)), "comps")
+        if left.isEmpty():
+            break
+    discard(n_long, open_, blocks, near, left)
     sets.discard()
-    if not found.isEmpty():
-        links.append(found)
-        discard(comps)
-        comps = written(graph.components(reduce(DataFrame.union, links)), "comps")
     rep = copies
     if comps is not None:
         rep = copies.join(small(comps).withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("rep")).union(comps.join(small(copies).select("id"), "id", "left_anti").select("id", "component"))
         rep = written(rep, "rep")
-    discard(*links, found)
+    discard(*links)
     rows = sizes.join(small(rep), "id", "left")
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
 

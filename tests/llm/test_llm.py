@@ -505,3 +505,40 @@ def test_proposals_that_overlap(spark):
         spans = [(s["start"], s["end"]) for s in got[k]["span_list"]]
         assert got[k]["n_spans"] == len(spans) and (not wanted) == (not spans), (t, spans)
         assert all(t[a:b] in wanted for a, b in spans) and len(spans) <= 1, (t, spans)
+
+
+def test_near_copies_are_thinned_without_loss(spark, monkeypatch):
+    """Groups of near copies, some of which link with few others: few links are made, and no component is lost."""
+    import random
+
+    from pairloom.llm import jaccard_join
+
+    rnd, texts = random.Random(11), []
+    for group in range(3):
+        for k in range(40):  # those of two changes link with the first alone, those of one with each other too
+            own = [f"g{group}w{at}" for at in range(120)]
+            for at in rnd.sample(range(5, 115), 0 if k == 0 else 2 if k % 5 == 0 else 1):
+                own[at] = f"x{group}y{k}z{at}"
+            texts.append(" ".join(own))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+    low = list(range(len(texts)))
+
+    def root(k):
+        return k if low[k] == k else root(low[k])
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        low[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, own = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda *a: made.append(own(*a).cache()) or made[-1])
+    monkeypatch.setattr(jaccard_join, "discard", lambda *tables: None)
+    monkeypatch.setattr(jaccard_join, "STARS", 0)
+    for rounds in ((1, 4, 16, 64, None), (None,)):
+        monkeypatch.setattr(jaccard_join, "THINNED", rounds)
+        made.clear()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+        assert got == {k: root(k) for k in range(len(texts))}
+        links = sum(m.count() for m in made)
+        assert links == len(pairs) if rounds == (None,) else links < len(pairs) // 4
