@@ -204,3 +204,34 @@ def test_bins_of_many_blocks_in_a_task(spark, monkeypatch):
             monkeypatch.setattr(similarity, name, x)
         got.append(sorted(map(tuple, similarity.score_bins(v, v, bin_of).collect())))
     assert all(x == got[0] for x in got) and sum(r[1] for r in got[0]) == 90 * 89
+
+
+def test_packed_vectors_go_when_nothing_reads_them(spark, monkeypatch):
+    """Disk: queries of one session don't leave their packed tables."""
+    import os
+    import time
+
+    from pairloom.operators import similarity
+    from pairloom.sources import storage
+
+    monkeypatch.setattr(storage, "WAITING", 0)
+    packed, paths = similarity.written, []
+
+    def noted(*args):
+        table = packed(*args)
+        paths.append(table.written_to.removeprefix("file://"))
+        return table
+
+    monkeypatch.setattr(similarity, "written", noted)
+    v = close_vectors(spark).cache()
+    kept = similarity.nearest_negatives(v, v, 3).where("rank < 3")  # not computed yet
+    for _ in range(4):
+        assert similarity.nearest_negatives(v, v, 3).count() > 0
+    for _ in range(20):
+        storage.sweep(spark)
+        if not any(map(os.path.exists, paths[1:])):
+            break
+        time.sleep(0.5)
+    assert len(paths) == 5 and [os.path.exists(p) for p in paths] == [True] + [False] * 4
+    want = similarity.hard_negatives(similarity.similarity_pairs(v, v), 2)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want.select(*kept.columns).collect()))
