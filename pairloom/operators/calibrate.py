@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import similarity
+from . import rough, similarity
 from .metrics import class_counts, is_match, quantile_bin, ratio, totals, with_positives
 
 #: Width of the bins in which a threshold is searched first.
@@ -35,7 +36,10 @@ def _operating_points(bins: DataFrame, exact: Callable[[list[tuple[float, float]
         hit = upto.where(F.col("found") >= F.col("target") * positives - 1e-9).groupBy("target").agg(F.max("score").alias("threshold"), F.min("pairs").alias("pairs"), F.min("found").alias("found"))
     else:
         hit = spark.createDataFrame([], "target double, threshold double, pairs long, found long")
-    out = wanted.join(hit, "target", "left")
+    return _points(wanted.join(hit, "target", "left"), positives, possible)
+
+
+def _points(out: DataFrame, positives: int, possible: int) -> DataFrame:
     return out.select("target", "threshold", F.col("pairs").alias("candidate_pairs"), F.col("found").alias("true_positives"), F.round(F.col("found") / F.lit(positives), 6).alias("pair_completeness"), F.round(F.col("found") / F.col("pairs"), 6).alias("pair_quality"), F.round(1 - F.col("pairs") / F.lit(possible), 6).alias("reduction_ratio"), F.col("threshold").isNotNull().alias("attained"))
 
 
@@ -60,7 +64,19 @@ def target_operating_points(pairs: DataFrame, counts: DataFrame, targets: list[f
 def joined_operating_points(queries: DataFrame, candidates: DataFrame, targets: list[float]) -> DataFrame:
     """target_operating_points of all pairs of (id, class, vector) on both sides, counted where they arise."""
     counts = with_positives(class_counts(queries, candidates))
-    asked = queries.join(counts.select(F.col("query_id").alias("id")), "id", "left_semi")
+    mine = counts.select(F.col("query_id").alias("id"))
+    asked, spark, sums = queries.join(mine, "id", "left_semi"), queries.sparkSession, totals(counts).first()
+    positives, possible = sums["positives"] or 0, sums["possible"] or 0
+    needs = {float(t): math.ceil(t * positives - 1e-9) for t in targets}
+    if min(needs.values(), default=0) > 0:
+        alone, from_ = queries.count() - sums["n_queries"], asked
+        if queries is candidates and 4 * alone < sums["n_queries"]:  # else half of all pairs are more than those of ``asked``
+            from_, alone = queries, queries.join(mine, "id", "left_anti") if alone else None
+        else:
+            alone = None
+        found = rough.operating_points(from_, candidates, needs, WIDTH, alone)
+        hit = spark.createDataFrame(found, "target double, threshold double, pairs long, found long")
+        return _points(spark.createDataFrame([(float(t),) for t in targets], "target double").join(F.broadcast(hit), "target", "left"), positives, possible)
     return _operating_points(similarity.score_bins(asked, candidates, quantile_bin(WIDTH)), lambda spans: similarity.scores_between(asked, candidates, spans), totals(counts), targets)
 
 
